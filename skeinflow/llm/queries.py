@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..tables import latest, table
 from . import consensus as votes
+from .leaks import leaks
+from .lookalike_pairs import look_classes, same_look_pairs
+from .lookalikes import canonical_column
 from .topn import top_n
 
 
@@ -49,7 +52,35 @@ def p5_voters(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "voter string, n_answers bigint, reliability double, knows double, opposes double, guesses_yes double, agrees double, support_of_yes double, support_of_no double")
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_voters": p5_voters}
+# --- 7: evaluation items in the corpus --------------------------------------------------------------------------------
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    found = _leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.max("share"), 6).alias("largest_share"))
+    return table(spark, folder, "eval_items").select("item_id", "suite").join(found, "item_id", "left").fillna(0, ["n_docs"])
+
+
+# --- 8: texts of the same look ----------------------------------------------------------------------------------------
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return same_look_pairs(look_classes(table(spark, folder, "documents")))
+
+
+def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", canonical_column(F.col("text")).alias("form"), F.col("text"))
+    return rows.select("doc_id", F.md5("form.text").alias("form_md5"), F.length("form.text").cast("bigint").alias("n_chars"), "form.mixed", "form.whole", (F.col("form.text") != F.col("text")).alias("changed"))
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_voters": p5_voters, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_forms": p8_forms}
 
 SQL = {
     "p2_found": """
