@@ -10,6 +10,7 @@ from . import consensus as votes
 from .leaks import leaks
 from .lookalike_pairs import look_classes, same_look_pairs
 from .lookalikes import canonical_column
+from .packing import pack, room_left
 from .topn import top_n
 
 
@@ -52,6 +53,21 @@ def p5_voters(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "voter string, n_answers bigint, reliability double, knows double, opposes double, guesses_yes double, agrees double, support_of_yes double, support_of_no double")
 
 
+# --- 6: containers of tokens ------------------------------------------------------------------------------------------
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), table(spark, folder, "context_budgets"))
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)
+
+
+def p6_room(spark: SparkSession, folder: str) -> DataFrame:
+    return room_left(_packed(spark, folder), table(spark, folder, "context_budgets"))
+
+
 # --- 7: evaluation items in the corpus --------------------------------------------------------------------------------
 
 
@@ -80,7 +96,7 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.md5("form.text").alias("form_md5"), F.length("form.text").cast("bigint").alias("n_chars"), "form.mixed", "form.whole", (F.col("form.text") != F.col("text")).alias("changed"))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_voters": p5_voters, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_voters": p5_voters, "p6_containers": p6_containers, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_forms": p8_forms}
 
 SQL = {
     "p2_found": """
