@@ -6,8 +6,8 @@ fullest open container that has room and no conflict. Open containers are kept i
 begins at the first with enough room and goes on to the next until a compatible one is found, so the tightest compatible
 container always wins. Each container carries a bitmap of the sources and one of the duplicate clusters in it.
 
-Two texts of one duplicate cluster, or of one source, conflict. A source or cluster that fills more than half of a block's
-expected containers is split into as many parts as keep every part below that, and only texts of one part conflict: a
+Two texts of one duplicate cluster, or of one source, conflict. A source or cluster with more texts than a sixth of a
+block's expected containers is split into as many parts as keep every part below that, and only texts of one part conflict: a
 source that holds a third of all texts is spread evenly and costs no room.
 """
 
@@ -83,12 +83,12 @@ def _sizer(capacities: dict, path: str):
     return run
 
 
-def _parts(keys: list, containers: int) -> list[tuple]:
-    """For each key its (key, part): keys with more members than half the containers get several parts."""
+def _parts(keys: list, containers: int, most: int = 6) -> list[tuple]:
+    """For each key its (key, part): a part has at most about one member for each ``most`` containers."""
     members: dict = {}
     for k in keys:
         members[k] = members.get(k, 0) + 1
-    split = {k: max(1, math.ceil(2 * n / containers)) for k, n in members.items()}
+    split = {k: max(1, math.ceil(most * n / containers)) for k, n in members.items()}
     seen: dict = {}
     out = []
     for k in keys:

@@ -12,6 +12,7 @@ from .lookalike_pairs import look_classes, same_look_pairs
 from .lookalikes import canonical_column
 from .packing import pack, room_left
 from .topn import top_n
+from .validity import broken, broken_rates
 
 
 # --- 2: top N of every group ------------------------------------------------------------------------------------------
@@ -27,6 +28,21 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return _best_groups(spark, folder).select("untrusted_source_id", F.col("id").alias("group_id"))
 
 
+# --- 3: files that do not parse ---------------------------------------------------------------------------------------
+
+
+def _broken(spark: SparkSession, folder: str) -> DataFrame:
+    return broken(table(spark, folder, "file_entries"), table(spark, folder, "skipped_files"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _broken(spark, folder).filter("bad").select("file_id")
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return broken_rates(_broken(spark, folder))
+
+
 # --- 5: consensus of voters -------------------------------------------------------------------------------------------
 
 
@@ -96,7 +112,7 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.md5("form.text").alias("form_md5"), F.length("form.text").cast("bigint").alias("n_chars"), "form.mixed", "form.whole", (F.col("form.text") != F.col("text")).alias("changed"))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_voters": p5_voters, "p6_containers": p6_containers, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_voters": p5_voters, "p6_containers": p6_containers, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_forms": p8_forms}
 
 SQL = {
     "p2_found": """
