@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..tables import latest, table
 from . import consensus as votes
+from .handwritten import not_handwritten
 from .leaks import leaks
 from .lookalike_pairs import look_classes, same_look_pairs
 from .lookalikes import canonical_column
@@ -43,6 +44,18 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     return broken_rates(_broken(spark, folder))
 
 
+# --- 4: files nobody wrote by hand ------------------------------------------------------------------------------------
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return not_handwritten(table(spark, folder, "file_entries")).filter("other").select("file_id")
+
+
+def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = not_handwritten(table(spark, folder, "file_entries"))
+    return scored.select("file_id", F.round("score", 4).alias("score"), F.array_join("kinds", ",").alias("kinds"), "other")
+
+
 # --- 5: consensus of voters -------------------------------------------------------------------------------------------
 
 
@@ -112,7 +125,7 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.md5("form.text").alias("form_md5"), F.length("form.text").cast("bigint").alias("n_chars"), "form.mixed", "form.whole", (F.col("form.text") != F.col("text")).alias("changed"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_voters": p5_voters, "p6_containers": p6_containers, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_voters": p5_voters, "p6_containers": p6_containers, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_forms": p8_forms}
 
 SQL = {
     "p2_found": """

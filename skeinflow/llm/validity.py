@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .syntax import BY_EXTENSION, JUDGED, fault, lexmap
 
 #: Characters of a chunk.
@@ -77,7 +78,7 @@ def broken_files(files: DataFrame, file: str = "file_id", path: str = "path", la
     """
     rows = files.select(F.col(file).alias("file_id"), F.col(path).cast("string").alias("path"), language_of(F.col(language), F.col(path)).alias("lang"), F.col(content).alias("content")).filter(F.col("lang").isin(*JUDGED) & F.col("content").isNotNull())
     id_type = files.schema[file].dataType.simpleString()
-    cut = rows.mapInPandas(_cut(chunk), f"file_id {id_type}, path string, lang string, no int, n int, bad boolean, chunk string")
+    cut = cut_lineage(rows.mapInPandas(_cut(chunk), f"file_id {id_type}, path string, lang string, no int, n int, bad boolean, chunk string"))
     single = cut.filter("n = 1").select("file_id", "bad")
     maps = cut.filter("n > 1").repartition("file_id", "no").mapInPandas(_summarise, f"file_id {id_type}, path string, lang string, no int, chunk string, map string")
     large = maps.groupBy("file_id").applyInPandas(_reduce, f"file_id {id_type}, bad boolean")
