@@ -27,7 +27,7 @@ from .validity import language_of
 #: Bits of the hashed feature space.
 BITS = 18
 #: The value of a giveaway feature; each of the other sets of features has length one.
-GIVEAWAY = 2.0
+GIVEAWAY = 4.0
 # Programming languages in which a file of mere data is no source.
 PROGRAMMING = frozenset("python javascript typescript go java rust kotlin scala ruby php csharp swift c cpp shell".split())
 # Names of lock files.
@@ -176,7 +176,7 @@ def features(repo: str, path: str, lang: str, text: str, evidence: set[str]) ->
     return np.concatenate(slots), np.concatenate(values)
 
 
-def train(rows: list[tuple[str, str, str, str]], passes: int = 12, c: float = 1.0, doubt: float = -0.7, held: int = 5, seed: int = 7) -> tuple[np.ndarray, float, dict]:
+def train(rows: list[tuple[str, str, str, str]], passes: int = 12, c: float = 0.3, doubt: float = -0.7, held: int = 5, seed: int = 7) -> tuple[np.ndarray, float, dict]:
     """(weights, threshold, report) of a linear support-vector machine by dual coordinate descent on (repo, path, lang, text).
 
     One repository of ``held`` is held out by its hash. The report has the held-out precision and recall with giveaways
