@@ -52,7 +52,7 @@ def parse_rules(text: str = RULES) -> list[tuple[int, str, str | None, str | Non
 
 def rule_table(spark: SparkSession, text: str = RULES) -> DataFrame:
     """The shapes as a frame; its size is that of the rule text."""
-    return spark.createDataFrame(parse_rules(text), "ord int, capability string, source_type string, qualifier string, verb string, verb_family boolean, qualifier_family boolean")
+    return spark.createDataFrame(parse_rules(text), "rule_ord int, capability string, source_type string, qualifier string, verb string, verb_family boolean, qualifier_family boolean")
 
 
 def matches(target: Column, qualifier: Column, verb: Column, verb_family: Column, qualifier_family: Column) -> Column:
@@ -72,7 +72,7 @@ def matches(target: Column, qualifier: Column, verb: Column, verb_family: Column
 
 
 def evidence(calls: DataFrame, rules: DataFrame, target: str = "target") -> DataFrame:
-    """``calls`` with (ord, capability, source_type) for every shape its target has.
+    """``calls`` with (rule_ord, capability, source_type) for every shape its target has.
 
     Verbs are joined by equality on every prefix-free verb and on the first two letters of verb families, so no pair of a
     call and a foreign verb is ever compared; the rules are a fixed table and broadcast.
@@ -81,7 +81,7 @@ def evidence(calls: DataFrame, rules: DataFrame, target: str = "target") -> Data
     exact = rules.filter("not verb_family")
     family = rules.filter("verb_family")
     condition = matches(F.col(target), F.col("qualifier"), F.col("verb"), F.col("verb_family"), F.col("qualifier_family"))
-    columns = [*calls.columns, "ord", "capability", "source_type"]
+    columns = [*calls.columns, "rule_ord", "capability", "source_type"]
     a = with_verb.join(F.broadcast(exact), F.col("_last") == F.col("verb")).filter(condition).select(*columns)
     b = with_verb.join(F.broadcast(family.withColumn("_two", F.substring("verb", 1, 2))), F.substring("_last", 1, 2) == F.col("_two")).filter(condition).select(*columns)
     return a.unionByName(b)
@@ -89,7 +89,7 @@ def evidence(calls: DataFrame, rules: DataFrame, target: str = "target") -> Data
 
 def first_source(evidence_rows: DataFrame, capability: str, key: list[str]) -> DataFrame:
     """(key, source_type): the family of the first shape of the capability each call has."""
-    return evidence_rows.filter(F.col("capability") == capability).groupBy(*key).agg(F.min_by("source_type", "ord").alias("source_type"))
+    return evidence_rows.filter(F.col("capability") == capability).groupBy(*key).agg(F.min_by("source_type", "rule_ord").alias("source_type"))
 
 
 def _holds(text: Column, words: tuple[str, ...]) -> Column:

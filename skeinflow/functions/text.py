@@ -79,8 +79,11 @@ def answer_json(text: Column) -> Column:
     """The JSON object in a model's answer: the text without a code fence, else its outermost braces; null if neither is."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
     braces = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-    whole = F.when(F.try_parse_json(bare).isNotNull() & bare.startswith("{"), bare)
-    return F.coalesce(whole, F.when(F.try_parse_json(braces).isNotNull(), braces))
+
+    def valid(x: Column) -> Column:  # inside an array, text after the object is an error as well
+        return F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))).isNotNull()
+
+    return F.coalesce(F.when(valid(bare) & bare.startswith("{"), bare), F.when(valid(braces), braces))
 
 
 def normal_vote(answer: Column) -> Column:
