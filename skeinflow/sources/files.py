@@ -55,16 +55,47 @@ def skip_reason(path: Column, size: Column) -> Column:
     )
 
 
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """(uri, path, size) of all files under a root, links not followed.
+
+    Spark's own file sources pass over names that begin with a dot or an underscore, package initialisers among them, so
+    the tree is listed through the file system's interface; only names and sizes of one source tree reach the driver.
+    """
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(top).toString().rstrip("/") + "/"
+    rows, files = [], system.listFiles(top, True)
+    while files.hasNext():
+        f = files.next()
+        if f.isFile() and not f.isSymlink():
+            uri = f.getPath().toString()
+            rows.append((uri, uri.removeprefix(base), f.getLen()))
+    return spark.createDataFrame(rows, "uri string, path string, size bigint")
+
+
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for pdf in batches:
+        out = []
+        for uri in pdf["uri"]:
+            local = uri.startswith("file:")
+            system, name = (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(uri)
+            with system.open_input_file(name) as f:
+                out.append(f.read())
+        yield pd.DataFrame({"path": pdf["path"], "language": pdf["language"], "content": out})
+
+
 def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(files, skipped) of a directory tree: (path, language, content, content_hash, size) and (path, reason).
 
-    Paths are relative to ``root``. The size filter reaches the scan, so contents of files too large are never read.
+    Paths are relative to ``root``. Files that are passed by are never opened.
     """
-    prefix = root.rstrip("/") + "/"
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.element_at(F.split("path", F.regexp_replace(F.lit(prefix), r"([^A-Za-z0-9/])", r"\\$1"), 2), -1)
-    named = listing.withColumn("path", relative).withColumn("reason", skip_reason(F.col("path"), F.col("length")))
-    files = named.filter((F.col("length") <= LARGEST) & F.col("reason").isNull()).select("path", language(F.col("path")).alias("language"), "content", F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size"))
+    named = _listed(spark, root).withColumn("reason", skip_reason(F.col("path"), F.col("size")))
+    kept = named.filter("reason is null").select("uri", "path", language(F.col("path")).alias("language"))
+    read = kept.repartition(F.xxhash64("path")).mapInPandas(_contents, "path string, language string, content binary")
+    files = read.select("path", "language", "content", F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("bigint").alias("size"))
     return files, named.filter("reason is not null").select("path", "reason")
 
 
