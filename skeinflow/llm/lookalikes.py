@@ -73,7 +73,7 @@ class _Folds(dict):
 
 
 _FOLDS = _Folds()
-_FOREIGN = re.compile("[" + "".join(own for _, own in SHAPES.values()) + "]")
+_FOREIGN = re.compile("[\u0370-\u058f\u13a0-\u13ff\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f\uab70-\uabbf\u051a-\u051d]")  # any letter of these scripts
 _CONTROL = re.compile("[\x00-\t\x0b-\x1f\x7f]")
 _TOKEN = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")
 _SHAPE_OF = {letter: shape for shapes, own in SHAPES.values() for shape, letter in zip(shapes, own)}
@@ -122,11 +122,10 @@ def canonical(text: str) -> tuple[str, int, int]:
         if not _CONTROL.search(text):
             return text, 0, 0
         return text.replace("\r\n", "\n").translate(_FOLDS), 0, 0
-    text = unicodedata.normalize("NFC", text.replace("\r\n", "\n").translate(_FOLDS))
-    if not _FOREIGN.search(text):
-        return text, 0, 0
     # Letters are compared without their marks; these stand apart while tokens are spelled.
-    text = unicodedata.normalize("NFD", text)
+    text = unicodedata.normalize("NFD", text.replace("\r\n", "\n").translate(_FOLDS))
+    if not _FOREIGN.search(text):
+        return unicodedata.normalize("NFC", text), 0, 0
     spans, mixed, whole = [], 0, 0
     for m in _TOKEN.finditer(text):
         bare = _strip_marks(m.group())

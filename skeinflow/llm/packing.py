@@ -6,8 +6,8 @@ fullest open container that has room and no conflict. Open containers are kept i
 begins at the first with enough room and goes on to the next until a compatible one is found, so the tightest compatible
 container always wins. Each container carries a bitmap of the sources and one of the duplicate clusters in it.
 
-Two texts of one duplicate cluster, or of one source, conflict. A source or cluster with more texts than a sixth of a
-block's expected containers is split into as many parts as keep every part below that, and only texts of one part conflict: a
+Two texts of one duplicate cluster, or of one source, conflict. A source with more texts than a sixth of a block's expected
+containers, or a cluster with more than half, is split into as many parts as keep every part below that, and only texts of one part conflict: a
 source that holds a third of all texts is spread evenly and costs no room.
 """
 
@@ -103,7 +103,7 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     bit_of: dict = {}
     marks = []
-    for group in (_parts(sources, containers), _parts(clusters, containers)):
+    for group in (_parts(sources, containers), _parts(clusters, containers, 2)):
         ids: dict = {}
         marks.append([1 << ids.setdefault(key, len(ids)) for key in group])
     least = min(sizes, default=0)
