@@ -93,7 +93,7 @@ def test_covered_words():
     assert covered(item, everything, [item[10:] + ["x"] * 30 + item[:10]]) == 20
     assert covered(item, everything, [item[:4]]) == 0
     assert covered(item, everything, [item[:8] + ["z"] + item[9:]]) == 19
-    assert words_of("Ａ_b—Ｃ\u200bd") == ["a", "b", "cd"]
+    assert words_of("Ａ_b—Ｃ\u200bd _x_ __") == ["a_b", "cd", "x"]
 
 
 @settings(max_examples=60, deadline=None)
