@@ -106,12 +106,35 @@ class _Facts(ast.NodeVisitor):
                 self.add("main", line=node.lineno)
         self.generic_visit(node)
 
+    def _assigned(self, targets, value) -> None:
+        call = dotted(value.func) if isinstance(value, ast.Call) else None
+        if call:
+            given = next((_literal(k.value) for k in value.keywords if k.arg == "name"), None) or (_literal(value.args[0]) if value.args else None)
+            for t in targets:
+                if name := dotted(t):
+                    self.add("assign", name=name, target=call, text=given, line=value.lineno)
+
+    def visit_Assign(self, node) -> None:
+        self._assigned(node.targets, node.value)
+        self.generic_visit(node)
+
+    def visit_AnnAssign(self, node) -> None:
+        self._assigned([node.target], node.value)
+        self.generic_visit(node)
+
     def visit_Call(self, node) -> None:
         target = dotted(node.func)
         if target:
             mode = next((_literal(k.value) for k in node.keywords if k.arg == "mode"), _literal(node.args[1]) if len(node.args) > 1 else None)
             shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)
             self.add("call", target=target, text=_first(node.args[0]) if node.args else None, mode=mode, shell=shell, line=node.lineno)
+            for k in node.keywords:
+                if k.arg in ("tools", "model", "llm"):
+                    named = [x for x in (dotted(e) for e in (k.value.elts if isinstance(k.value, (ast.List, ast.Tuple)) else [k.value])) if x]
+                    for x in named:
+                        self.add("given", name=x, target=target, mode=k.arg, line=node.lineno)
+            if target.rpartition(".")[2] in ("add_edge", "add_conditional_edges") and len(node.args) > 1 and _literal(node.args[0]) and _literal(node.args[1]):
+                self.add("link", name=_literal(node.args[0]), text=_literal(node.args[1]), target=target, line=node.lineno)
             if target.startswith("st.") and target[3:] in WIDGETS:
                 self.add("widget", target=target[3:], line=node.lineno)
         self.generic_visit(node)
