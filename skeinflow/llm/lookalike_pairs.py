@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .lookalikes import look_key_column
 
 
@@ -20,6 +21,7 @@ def same_look_pairs(classes: DataFrame) -> DataFrame:
     Spellings are paired first, one row per pair of different stored forms, and then joined to their documents, so copies
     of one spelling never meet each other. Looks with one spelling, as almost all are, leave before any join.
     """
+    classes = cut_lineage(classes)  # several steps read it, and the forms are made by Python once
     several = classes.groupBy("look").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo <> hi").select("look")
     rows = classes.join(several, "look", "left_semi")
     spellings = rows.select("look", "stored").distinct()
