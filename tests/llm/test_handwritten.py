@@ -66,3 +66,10 @@ def test_operator(spark):
     assert got[900] is False and 901 not in got and len(got) == 161
     assert sum(got[i] != (i % 8 < 4) for i in range(160)) <= 4
     assert h.not_handwritten(frame.limit(0)).count() == 0
+
+
+def test_threshold_finds_files_without_their_giveaways():
+    for seed in (9, 14):
+        report = h.train(corpus(random.Random(seed), 300))[2]
+        assert report["seen"]["precision"] == report["masked"]["precision"] == 1.0
+        assert report["seen"]["recall"] == 1.0 and report["masked"]["recall"] > 0.97
