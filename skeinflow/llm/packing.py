@@ -1,14 +1,14 @@
 """Packing texts into containers of a fixed number of tokens by conflict-constrained best fit.
 
 Texts are sized, and cut where they exceed the capacity, in one pass over the corpus. Pieces are spread over blocks of
-bounded size by a hash, whatever their source, and every block is packed on its own: largest pieces first, each into the
-fullest open container that has room and no conflict. Open containers are kept in order of their residual room; the search
+bounded size by a hash, whatever their source, and every block is packed on its own: pieces that are large or have many
+conflicts first (by size times members of the source), each into the fullest open container that has room and no conflict. Open containers are kept in order of their residual room; the search
 begins at the first with enough room and goes on to the next until a compatible one is found, so the tightest compatible
 container always wins. Each container carries a bitmap of the sources and one of the duplicate clusters in it.
 
-Two texts of one duplicate cluster, or of one source, conflict. A source with more texts than a sixth of a block's expected
-containers, or a cluster with more than half, is split into as many parts as keep every part below that, and only texts of one part conflict: a
-source that holds a third of all texts is spread evenly and costs no room.
+Two texts of one duplicate cluster, or of one source, conflict. Only a source or a cluster with more pieces than a block's
+expected containers, which no packing could keep apart, is split into as few parts as are no larger than that, and texts of
+one part conflict.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import base64
 import bisect
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -83,12 +84,12 @@ def _sizer(capacities: dict, path: str):
     return run
 
 
-def _parts(keys: list, containers: int, most: int = 6) -> list[tuple]:
-    """For each key its (key, part): a part has at most about one member for each ``most`` containers."""
+def _parts(keys: list, containers: int) -> list[tuple]:
+    """For each key its (key, part): one part, or as few as have no more members each than there are containers."""
     members: dict = {}
     for k in keys:
         members[k] = members.get(k, 0) + 1
-    split = {k: max(1, math.ceil(most * n / containers)) for k, n in members.items()}
+    split = {k: math.ceil(n / containers) for k, n in members.items()}
     seen: dict = {}
     out = []
     for k in keys:
@@ -100,10 +101,12 @@ def _parts(keys: list, containers: int, most: int = 6) -> list[tuple]:
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[int]:
     """The container number of every piece; sizes must not exceed the capacity. The result depends on the input alone."""
     containers = max(1, math.ceil(sum(sizes) / capacity))
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    bit_of: dict = {}
+    parts = _parts(sources, containers), _parts(clusters, containers)
+    members = Counter(parts[0])
+    # By size alone, small pieces of a large source come last, when no container without that source has room.
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i] * members[parts[0][i]])
     marks = []
-    for group in (_parts(sources, containers), _parts(clusters, containers, 2)):
+    for group in parts:
         ids: dict = {}
         marks.append([1 << ids.setdefault(key, len(ids)) for key in group])
     least = min(sizes, default=0)

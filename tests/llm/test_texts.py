@@ -113,6 +113,21 @@ def test_duplicates_do_not_share_containers():
     assert len({at[0], at[1], at[2]}) == 3
 
 
+def test_sources_and_clusters_stay_apart_wherever_they_can():
+    # 40 containers of ten: a source of 30 and a cluster of 35 fit one to each; a source of 60 has to meet itself.
+    for n in (30, 40):
+        at = packing.best_fit([10] * 400, [0] * n + list(range(1, 401 - n)), list(range(400)), 100)
+        assert len(set(at[:n])) == n and max(at) < 42
+    at = packing.best_fit([10] * 400, list(range(400)), [0] * 35 + list(range(1, 366)), 100)
+    assert len(set(at[:35])) == 35
+    at = packing.best_fit([10] * 400, [0] * 60 + list(range(1, 341)), list(range(400)), 100)
+    assert max(at[:60].count(k) for k in set(at)) == 2 and max(at) < 42
+    # Small pieces of a large source find room without it.
+    sizes = [100] * 20 + [60, 30] * 20 + [10] * 20
+    at = packing.best_fit(sizes, list(range(60)) + [99] * 20, list(range(80)), 100)
+    assert len(set(at[60:])) == 20 and max(at) == 39
+
+
 def test_packing_is_whole(spark):
     rng = random.Random(1)
     docs = [(i, rng.choice(["Grüße 世界 ", "plain words here ", "x"]) * rng.choice([1, 5, 40, 300]), f"s{i % 3}") for i in range(80)] + [(100, "", "s"), (101, None, "s"), (102, "tail", None)]
