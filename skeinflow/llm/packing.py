@@ -15,18 +15,19 @@ from __future__ import annotations
 
 import base64
 import bisect
-import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .leaks import words_of
+from .leaks import shingles, words_of
+from .near_copies import frequent_codes, near_clusters, prefix_of, sketch_of, word_cluster
 
 #: The tokenizer file used throughout: byte-level BPE as ranks.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -67,7 +68,7 @@ def cuts(text: str, tokens: list[int], lengths: list[int], capacity: int) -> lis
     return pieces
 
 
-def _sizer(capacities: dict, path: str):
+def _sizer(capacities: dict, path: str, frequent: tuple[np.ndarray, np.ndarray], similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = tokenizer(path)
         for pdf in batches:
@@ -75,11 +76,15 @@ def _sizer(capacities: dict, path: str):
             for doc, text, source in zip(pdf["doc_id"], pdf["text"], pdf["source"]):
                 text = text.encode("utf-8", "replace").decode() if not text.isascii() else text
                 tokens = encoding.encode_ordinary(text)
-                cluster = int.from_bytes(hashlib.blake2b(" ".join(words_of(text)).encode(), digest_size=8).digest(), "big", signed=True)
+                words = words_of(text)
+                cluster, codes = word_cluster(words), np.unique(shingles(words))
+                mark = len(codes), prefix_of(codes, *frequent, similarity), sketch_of(codes)
                 lengths = [len(encoding.decode_single_token_bytes(t)) for t in tokens] if len(tokens) > min(capacities.values()) else []
                 for budget, capacity in capacities.items():
-                    rows += [(budget, capacity, doc, source, cluster, k, *piece) for k, piece in enumerate(cuts(text, tokens, lengths, capacity))]
-            yield pd.DataFrame(rows, columns=["budget_id", "capacity", "doc_id", "source", "cluster", "piece", "start", "end", "n_tokens"])
+                    for k, piece in enumerate(cuts(text, tokens, lengths, capacity)):
+                        rows.append((budget, capacity, doc, source, cluster, k, *piece, *mark))
+                        mark = 0, None, None  # once for each text
+            yield pd.DataFrame(rows, columns=["budget_id", "capacity", "doc_id", "source", "cluster", "piece", "start", "end", "n_tokens", "n_codes", "prefix", "sketch"])
 
     return run
 
@@ -140,14 +145,15 @@ def _pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["budget_id", "block", "local", "doc_id", "piece", "start", "end", "n_tokens"]]
 
 
-def pack(documents: DataFrame, budgets: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", block_items: int = 20_000, path: str = TOKENIZER, max_budgets: int = 1000) -> DataFrame:
+def pack(documents: DataFrame, budgets: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", block_items: int = 20_000, path: str = TOKENIZER, max_budgets: int = 1000, similarity: float = 0.8) -> DataFrame:
     """(budget_id, container, doc_id, piece, start, end, n_tokens): where every text, or piece of one, goes.
 
     For every budget, each document with a non-empty text is in exactly one container, or is cut into pieces of
     characters ``start`` to ``end`` if it has more tokens than the capacity. Containers are numbered from 1 without gaps
     and never hold more than the capacity. Null and empty texts go nowhere; null sources are one source; rows are packed
     as they come, so a repeated row is a duplicate of its own. Null capacities are ignored, capacities under four raise
-    ValueError, as do more than ``max_budgets`` budgets. Blocks hold about ``block_items`` pieces: only the last few
+    ValueError, as do more than ``max_budgets`` budgets. Texts of equal words, and texts whose five-word shingles have a
+    Jaccard ``similarity`` of this or more, directly or through others, are one duplicate cluster. Blocks hold about ``block_items`` pieces: only the last few
     containers of each block have much room left.
     """
     found = budgets.filter("budget_id is not null and capacity is not null").select("budget_id", "capacity").distinct().limit(max_budgets + 1).collect()
@@ -160,7 +166,12 @@ def pack(documents: DataFrame, budgets: DataFrame, doc: str = "doc_id", text: st
     if not capacities:
         return documents.sparkSession.createDataFrame([], f"budget_id {budget_type}, container bigint, doc_id {id_type}, piece int, start int, end int, n_tokens int")
     rows = documents.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.xxhash64(F.col(source)), F.lit(0)).alias("source"))
-    pieces = cut_lineage(rows.mapInPandas(_sizer(capacities, path), f"budget_id {budget_type}, capacity bigint, doc_id {id_type}, source bigint, cluster bigint, piece int, start int, end int, n_tokens int"))
+    sizer = _sizer(capacities, path, frequent_codes(rows), similarity)
+    sized = cut_lineage(rows.mapInPandas(sizer, f"budget_id {budget_type}, capacity bigint, doc_id {id_type}, source bigint, cluster bigint, piece int, start int, end int, n_tokens int, n_codes int, prefix array<bigint>, sketch array<bigint>"))
+    pieces = sized.drop("n_codes", "prefix", "sketch")
+    near = near_clusters(sized.filter("prefix is not null").select("doc_id", "cluster", "n_codes", "prefix", "sketch"), rows.select("doc_id", "text"), similarity)
+    if near is not None:
+        pieces = pieces.join(near, "cluster", "left").withColumn("cluster", F.coalesce("near", "cluster")).drop("near")
     most = pieces.groupBy("budget_id").count().agg(F.max("count")).first()[0] or 0
     blocks = max(1, -(-most // block_items))
     spread = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(blocks)).cast("int"))

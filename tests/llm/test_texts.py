@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skeinflow.llm import packing
+from skeinflow.llm import near_copies, packing
 from skeinflow.llm.leaks import covered, leaks, words_of
 from skeinflow.llm.lookalike_pairs import look_classes, same_look_pairs
 from skeinflow.llm.lookalikes import canonical, look_key
@@ -128,6 +128,41 @@ def test_sources_and_clusters_stay_apart_wherever_they_can():
     assert len(set(at[60:])) == 20 and max(at) == 39
 
 
+def test_near_copies_do_not_share_containers(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(25):
+        words = [rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(60)]
+        texts += [" ".join(words), " ".join(words), " ".join(words[:30] + ["other"] + words[31:]).upper(), " ".join(words[:30] + ["more", "other"] + words[31:50] + ["end"]), " ".join(words[3:])]
+    texts += [" ".join(f"{w} boilerplate of every single text" for w in WORDS[k : k + 20]) for k in range(6)] + ["one two", "one two", "one three"]
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    sets = [set(packing.shingles(words_of(t)).tolist()) for t in texts]
+    alike = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if words_of(texts[i]) == words_of(texts[j]) or (a and b and len(a & b) >= 0.8 * len(a | b))}
+    assert any(words_of(texts[i]) != words_of(texts[j]) for i, j in alike)
+    budget = spark.createDataFrame([(1, "a", 1500)], "budget_id int, label string, capacity long")
+    at = {r.doc_id: r.container for r in packing.pack(docs, budget).collect()}
+    assert len(at) == len(texts) and all(at[i] != at[j] for i, j in alike)
+
+    # The clusters are the components of all pairs, whichever shingles are taken for frequent.
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in alike:
+            root[i] = root[j] = min(root[i], root[j])
+    for frequent in (near_copies.frequent_codes(docs, one_of=1), near_copies.frequent_codes(docs, one_of=1, least=10**6)):
+        marks = []
+        for i, t in enumerate(texts):
+            codes = near_copies.np.unique(packing.shingles(words_of(t)))
+            marks.append((i, near_copies.word_cluster(words_of(t)), len(codes), near_copies.prefix_of(codes, *frequent, 0.8), near_copies.sketch_of(codes)))
+        near = {r.cluster: r.near for r in near_copies.near_clusters(spark.createDataFrame(marks, "doc_id long, cluster long, n_codes int, prefix array<long>, sketch array<long>"), docs, 0.8).collect()}
+        got = [near.get(m[1], m[1]) for m in marks]
+        assert all((got[i] == got[j]) == (root[i] == root[j]) for j in range(len(texts)) for i in range(j))
+
+
+def test_long_chains_are_one_component(spark):
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
+    assert {r.cluster: r.near for r in near_copies._components(pairs).collect()} == dict.fromkeys(range(41), 0) | {100: 100, 101: 100}
+
+
 def test_packing_is_whole(spark):
     rng = random.Random(1)
     docs = [(i, rng.choice(["Grüße 世界 ", "plain words here ", "x"]) * rng.choice([1, 5, 40, 300]), f"s{i % 3}") for i in range(80)] + [(100, "", "s"), (101, None, "s"), (102, "tail", None)]
