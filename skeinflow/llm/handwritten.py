@@ -43,6 +43,7 @@ MACHINE = re.compile(
     |(?:edits?|changes|modifications)\b.{0,40}\b(?:lost|overwritten|discarded)|do\ not\ (?:edit|modify|change|touch)(?:\ (?:this|the)\ file)?\W*$""",
     re.X | re.I | re.M,
 )
+STATED = re.compile(r"^\W*code generated by\b.*\bdo not edit\b|^\W*@generated\b|<auto-?generated\b|^\W*this (?:whole )?file (?:is|was|has been) (?:auto-?|automatically |machine-?)?generated\b", re.I)
 PEOPLE = re.compile(r"\bTODO\b|\bFIXME\b|one day|still write|by hand\b(?!.*(?:lost|bearbeiten))|at start-?up|\breads what\b", re.I)
 HOLDER = re.compile(r"copyright\s+(?:\(c\)\s*|©\s*)?(?:\d{4}(?:\s*-\s*\d{4})?,?\s+)?(?:by\s+)?(?:the\s+)?(?P<who>[\w.\-]+)\s+(?P<as>authors|contributors|developers|project|maintainers|team)\b", re.I)
 BANNER = re.compile(r"/\*!\s*(?P<who>[\w.\-]+)\s+v?\d[\w.]*\s*\|")
@@ -50,14 +51,24 @@ UPSTREAM = re.compile(r"^\W*upstream:\s*\S+://", re.I | re.M)
 _COMMENT = re.compile(r"^\s*(?:#(?!!)|//|/\*|\*|--|;|<!--|\"\"\"|''')")
 _LITERAL = re.compile(r'"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|`[^`]*`|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|-?\b(?:0x[0-9a-f]+|\d[\d_.]*(?:e[+-]?\d+)?)\b', re.S | re.I)
 _CODE_WORD = re.compile(r"\b(?:def|class|function|func|return|if|for|while|import|from|require|public|static|async|await|switch|try|interface|echo|done|fi|lambda|yield|with|raise|throw|package)\b|=>")
+# Literals that end on their line, comments, and in group 1 the beginning of a literal that goes on.
+_QUOTED = re.compile(r'"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|`(?:[^`\\]|\\.)*`|("""|\'\'\'|`)|"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|(?://|#).*')
+_HERE = re.compile(r"<<[-~]?(['\"]?)([A-Z_]\w*)\1")
 _LINE_COMMENT = re.compile(r"^\s*(?:#|//).*$", re.M)
 
 
 def notices(text: str, head: int = 25, tail: int = 4) -> str:
-    """The comments and doc strings among the first and the last lines."""
+    """The comments and doc strings among the first and the last lines, and what comments elsewhere say of the whole file.
+
+    The comments a file begins and ends with are read to their end, however many lines that takes. Further below, where
+    most comments speak of the code beside them, only lines that ``STATED``, ``HOLDER`` or ``UPSTREAM`` know are notices.
+    """
     lines = text.split("\n")
-    out, quoted = [], ""
-    for line in lines[:head]:
+    out, quoted, leading, stop = [], "", True, len(lines)
+    for n, line in enumerate(lines):
+        if n >= head and not leading:
+            stop = n
+            break
         bare = line.strip()
         if quoted:
             out.append(bare)
@@ -69,10 +80,42 @@ def notices(text: str, head: int = 25, tail: int = 4) -> str:
                 quoted = bare[:3]
         elif _COMMENT.match(line):
             out.append(bare)
-        elif bare and len(out) and len(lines) > head and line[:1] not in (" ", "\t", "}") and not re.match(r"(?:import|from|package|use|const|var|let|#!|\")", bare):
-            break
-    ends = [x for x in lines[-tail:] if x.strip()] if len(lines) > head else []
-    return "\n".join(out + [x.strip() for x in ends if _COMMENT.match(x)])
+            if bare[:2] == "/*" and "*/" not in bare:
+                quoted = "*/"
+        elif bare and not re.match(r"(?:import|from|package|use|const|var|let|#!|\")", bare):
+            if len(out) and len(lines) > head and line[:1] not in (" ", "\t", "}"):
+                stop = n
+                break
+            leading = False
+    end = len(lines)
+    while end > stop and (not lines[end - 1].strip() or _COMMENT.match(lines[end - 1])):
+        end -= 1
+    ends = lines[min(end, max(0, len(lines) - tail)) :] if len(lines) > head else []
+    return "\n".join(out + _stated(lines[stop:end]) + [x.strip() for x in ends if x.strip() and _COMMENT.match(x)])
+
+
+def _stated(lines: list[str]) -> list[str]:
+    """The comment lines, outside of literals of several lines, that say where the whole file comes from."""
+
+    def told(line: str) -> bool:
+        return bool(STATED.search(line) or HOLDER.search(line) or UPSTREAM.search(line))
+
+    if not any(map(told, lines)):
+        return []
+    out, inside, word = [], "", ""
+    for line in lines:
+        if word:
+            word = "" if line.strip() == word else word
+        elif inside:
+            inside = "" if line.count(inside) % 2 else inside
+        elif _COMMENT.match(line) and line.strip()[:3] not in ('"""', "'''"):
+            if told(line):
+                out.append(line.strip())
+        else:
+            inside = next((m.group(1) for m in _QUOTED.finditer(line) if m.group(1)), "")
+            if m := _HERE.search(line):
+                word = m.group(2)
+    return out
 
 
 def mere_data(lang: str, text: str) -> bool:
@@ -102,7 +145,7 @@ def giveaways(repo: str, path: str, lang: str, text: str) -> set[str]:
     for line in notes.split("\n"):
         if MACHINE.search(line) and not PEOPLE.search(line):
             out.add("machine")
-    for m in [*HOLDER.finditer(notes), *BANNER.finditer(text[:400])]:
+    for m in [*HOLDER.finditer(notes), *BANNER.finditer(text)]:
         if m.group("who").lower() not in (repo or "").lower():
             out.add("holder")
     if UPSTREAM.search(notes):

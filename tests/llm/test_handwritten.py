@@ -73,3 +73,17 @@ def test_threshold_finds_files_without_their_giveaways():
         report = h.train(corpus(random.Random(seed), 300))[2]
         assert report["seen"]["precision"] == report["masked"]["precision"] == 1.0
         assert report["seen"]["recall"] == 1.0 and report["masked"]["recall"] > 0.97
+
+
+def test_notices_below_a_long_licence():
+    licence = "".join(f"// Licence line {k} of many.\n" for k in range(40))
+    code = "package x\n\n" + "".join(f"func f{k}() int {{\n\treturn {k}\n}}\n" for k in range(20))
+    note = "// Code generated by wiregen. DO NOT EDIT.\n"
+    assert h.giveaways("r", "a.go", "go", licence + code) == set()
+    for text in (licence + "\n" + note + code, "/*\n" + licence.replace("// ", "") + "*/\n" + note + code, code + note + code, code + note + licence):
+        assert h.giveaways("r", "a.go", "go", text) == {"machine"} and "wiregen" not in h.masked(text)
+    # What a program writes into other files, and what is said of the code beside it, is no notice.
+    for text in (code + "const T = `\n" + note + "`\n" + code, code + "// The table is created automatically.\n" + code):
+        assert h.giveaways("r", "a.go", "go", text) == set()
+    assert h.giveaways("r", "a.sh", "shell", "x=1\n" * 30 + "cat <<EOF\n# @generated\nEOF\n" + "y=1\n" * 30) == set()
+    assert h.giveaways("r", "a.js", "javascript", "a();\n" * 100 + "/*! tinylib v1.2 | MIT */\n" + "b();\n") == {"holder"}
