@@ -86,6 +86,13 @@ def test_leaks(spark):
     assert leaks(d, q.limit(0)).count() == 0 and leaks(d.limit(0), q).count() == 0
 
 
+def test_dense_edits_after_one_shingle_are_found(spark):
+    words = [f"{w}{k}" for k, w in enumerate(WORDS)]
+    edited = [w if k < 5 or (k - 5) % 4 else f"changed{k}" for k, w in enumerate(words)]
+    d = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join(words[:5] + ["x"] * 40))], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in leaks(d, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).collect()] == [(1, 7)]
+
+
 def test_covered_words():
     item = [f"w{i}" for i in range(20)]
     everything = set(range(20))
