@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..tables import latest, table
 
 # Vocabularies of the data model.
@@ -16,8 +17,12 @@ CONTROL_EDGES = ("uses_model", "uses_tool", "provides_tool", "delegates_to")
 SINK_CAPABILITIES = ("executes_code", "executes_shell", "writes_filesystem", "writes_db", "http_egress")
 SOURCE_TYPES = ("rag_corpus", "mcp_tool_description", "email_inbox")
 
-_NODE = ["id", "kind", "name", "host_id", "attributes", "capabilities", "observed_by", "confidence", "content_hash", "status", "created_at", "updated_at"]
-_EDGE = ["id", "source_id", "target_id", "kind", "host_id", "edge_precision", "flow_kind", "data_flow_confirmed", "identity_confidence", "attributes", "capabilities", "observed_by", "confidence", "status", "created_at", "updated_at"]
+NODE_COLUMNS = ("id", "kind", "name", "host_id", "attributes", "capabilities", "observed_by", "confidence", "content_hash", "status", "created_at", "updated_at")
+EDGE_COLUMNS = ("id", "source_id", "target_id", "kind", "host_id", "edge_precision", "flow_kind", "data_flow_confirmed", "identity_confidence", "attributes", "capabilities", "observed_by", "confidence", "status", "created_at", "updated_at")
+#: The columns that walks over the graph read.
+WALK_NODES = ("id", "kind", "capabilities", "status")
+WALK_EDGES = ("id", "source_id", "target_id", "flow_kind", "observed_by", "status")
+LINK_EDGES = (*WALK_EDGES, "kind", "identity_confidence", "attributes")
 
 
 class Graph(NamedTuple):
@@ -27,12 +32,22 @@ class Graph(NamedTuple):
     edges: DataFrame
 
 
-def stored_graph(spark: SparkSession, folder: str) -> Graph:
-    """The graph of the versioned tables: the latest row of every node and edge.
+def stored_nodes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The latest row of every node, with ``id`` and the named columns (none named: all).
 
-    Unused columns are pruned through the aggregation, so a query reads and shuffles only what it names.
+    Optimizers do not prune through the aggregation that picks the row, so what is not named here is not read.
     """
-    return Graph(latest(table(spark, folder, "nodes"), "id", _NODE), latest(table(spark, folder, "edges"), "id", _EDGE))
+    return latest(table(spark, folder, "nodes"), "id", ["id", *(c for c in columns or NODE_COLUMNS if c != "id")])
+
+
+def stored_edges(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """As ``stored_nodes``, for edges."""
+    return latest(table(spark, folder, "edges"), "id", ["id", *(c for c in columns or EDGE_COLUMNS if c != "id")])
+
+
+def stored_graph(spark: SparkSession, folder: str, nodes: tuple[str, ...] = (), edges: tuple[str, ...] = ()) -> Graph:
+    """The graph of the versioned tables: the latest row of every node and edge, with the columns named for each."""
+    return Graph(stored_nodes(spark, folder, *nodes), stored_edges(spark, folder, *edges))
 
 
 def sinks(nodes: DataFrame, kinds: tuple[str, ...] = ("sink",)) -> DataFrame:
@@ -62,12 +77,17 @@ def neighbours(graph: Graph, starts: DataFrame, depth: int = 1) -> DataFrame:
     """
     if depth < 1:
         raise ValueError("depth must be at least 1")
-    active = graph.edges.filter("status = 'active'")
-    both = active.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(active.select("target_id", "source_id")).distinct()
-    found = starts.select(F.col("id").alias("start"), "id").distinct().withColumn("distance", F.lit(0))
+    active = graph.edges.filter("status = 'active'").select("source_id", "target_id")
+    both = cut_lineage(active.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(active.select("target_id", "source_id")).distinct())
+    found = cut_lineage(starts.select(F.col("id").alias("start"), "id").distinct().withColumn("distance", F.lit(0)))
+    frontier = found
     for d in range(1, depth + 1):
-        step = found.filter(F.col("distance") == d - 1).join(both, F.col("id") == F.col("a")).select("start", F.col("b").alias("id"), F.lit(d).alias("distance"))
-        found = found.unionByName(step).groupBy("start", "id").agg(F.min("distance").alias("distance"))
+        # Only nodes met in the round before are expanded, each of them once however many starts met it.
+        step = frontier.join(both, F.col("id") == F.col("a")).select("start", F.col("b").alias("id")).distinct()
+        frontier = cut_lineage(step.join(found.select("start", "id"), ["start", "id"], "left_anti").withColumn("distance", F.lit(d)))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
     return found
 
 

@@ -1,9 +1,8 @@
 """Bounded simple paths, chains to and from anchors, and the groups that pair them.
 
-A walk is one linear plan: rows that have arrived ride along through the later joins, so no prefix of the walk is computed
-twice and nothing is collected in between. Each step joins the open rows to the hops on the current node. Rows that have
-arrived get their last edge as the key of the remaining joins, which spreads them; open rows at a node that many paths
-cross are split by adaptive execution.
+A walk goes round by round: open rows are joined to the hops on their current node, the round is written to the checkpoint
+folder, rows that have arrived are set aside and never shuffled again, and the walk ends with the first round that leaves
+no row open. A lost executor costs one round. Open rows at a node that many paths cross are split by adaptive execution.
 
 Caps keep the order of a depth-first walk that takes edges by id, which is the order of the edge id sequences; they are
 ranks over complete results, never limits inside the walk.
@@ -14,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .graph import TRAVERSABLE, Graph, sinks
+from .merge import union_all
 
 # The limits below which two linked places are not believed to be one store.
 WEAK_FLOOR = 0.3
@@ -46,29 +47,37 @@ def walk(starts: DataFrame, first: DataFrame, later: DataFrame, max_hops: int) -
     """
     if max_hops < 1:
         raise ValueError("max_hops must be at least 1")
-    state = starts.select("start", F.col("start").alias("cur"), F.array("start").alias("nodes"), F.array().cast("array<string>").alias("edges"), F.lit(False).alias("done"), F.lit(False).alias("runtime"), F.lit(None).cast("double").alias("link"), F.lit(None).cast("string").alias("link_source"))
+    names = ("src", "dst", "edge", "arrives", "runtime", "link", "link_source")
+    named = [cut_lineage(hops.select(*[F.col(c).alias(f"h_{c}") for c in names])) for hops in ([first] if first is later else [first, later])]
+    open_ = starts.select("start", F.col("start").alias("cur"), F.array("start").alias("nodes"), F.array().cast("array<string>").alias("edges"), F.lit(False).alias("runtime"), F.lit(None).cast("double").alias("link"), F.lit(None).cast("string").alias("link_source"))
+    arrived = []
     for k in range(max_hops):
-        hops = (first if k == 0 else later).select(*[F.col(c).alias(f"h_{c}") for c in ("src", "dst", "edge", "arrives", "runtime", "link", "link_source")])
-        key = F.when(F.col("done"), F.element_at("edges", -1)).otherwise(F.col("cur")) if k else F.col("cur")
-        joined = state.withColumn("key", key).join(hops, (F.col("key") == F.col("h_src")) & ~F.col("done"), "left")
-        stay = F.col("done")
-        joined = joined.filter(stay | (F.col("h_dst").isNotNull() & ~F.array_contains("nodes", F.col("h_dst"))))
-        state = joined.select(
-            "start",
-            F.when(stay, F.col("cur")).otherwise(F.col("h_dst")).alias("cur"),
-            F.when(stay, F.col("nodes")).otherwise(F.concat("nodes", F.array("h_dst"))).alias("nodes"),
-            F.when(stay, F.col("edges")).otherwise(F.concat("edges", F.array("h_edge"))).alias("edges"),
-            (stay | F.col("h_arrives")).alias("done"),
-            F.when(stay, F.col("runtime")).otherwise(F.col("runtime") | F.col("h_runtime")).alias("runtime"),
-            *([F.col("h_link").alias("link"), F.col("h_link_source").alias("link_source")] if k == 0 else ["link", "link_source"]),
+        joined = open_.join(named[min(k, len(named) - 1)], (F.col("cur") == F.col("h_src")) & ~F.array_contains("nodes", F.col("h_dst")))
+        # The last round keeps nothing that has not arrived.
+        met = joined if k + 1 < max_hops else joined.filter("h_arrives")
+        state = cut_lineage(
+            met.select(
+                "start",
+                F.col("h_dst").alias("cur"),
+                F.concat("nodes", F.array("h_dst")).alias("nodes"),
+                F.concat("edges", F.array("h_edge")).alias("edges"),
+                F.col("h_arrives").alias("done"),
+                (F.col("runtime") | F.col("h_runtime")).alias("runtime"),
+                *([F.col("h_link").alias("link"), F.col("h_link_source").alias("link_source")] if k == 0 else ["link", "link_source"]),
+            )
         )
-    return state.filter("done").drop("cur", "done")
+        arrived.append(state.filter("done").drop("cur", "done"))
+        open_ = state.filter("not done").drop("done")
+        if open_.isEmpty():
+            break
+    return union_all(arrived)
 
 
 def _hops(edges: DataFrame, arrivals: DataFrame, backwards: bool = False, anchored: bool = False) -> DataFrame:
     """Hops over the active traversable edges; ``anchored`` adds the structural edges that name an anchor's end."""
     passes = F.col("flow_kind").isin(*TRAVERSABLE)
     anchor = F.col("kind") == "writes_to" if anchored else F.lit(False)
+    link = [F.when(anchor, F.col("identity_confidence")), F.when(anchor, F.get_json_object("attributes", "$.identity_source"))] if anchored else [F.lit(None).cast("double"), F.lit(None).cast("string")]
     src, dst = ("target_id", "source_id") if backwards else ("source_id", "target_id")
     ends = arrivals.select(F.col("id").alias("dst"), F.lit(True).alias("ends")).distinct()
     rows = edges.filter((F.col("status") == "active") & (passes | anchor)).select(
@@ -76,8 +85,8 @@ def _hops(edges: DataFrame, arrivals: DataFrame, backwards: bool = False, anchor
         F.col(dst).alias("dst"),
         F.col("id").alias("edge"),
         F.coalesce(F.array_contains("observed_by", "runtime"), F.lit(False)).alias("runtime"),
-        F.when(anchor, F.col("identity_confidence")).alias("link"),
-        F.when(anchor, F.get_json_object("attributes", "$.identity_source")).alias("link_source"),
+        link[0].alias("link"),
+        link[1].alias("link_source"),
     )
     return rows.join(ends, "dst", "left").withColumn("arrives", F.coalesce("ends", F.lit(False)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,10 +40,24 @@ def latency_statistics(runs: DataFrame) -> DataFrame:
 
     The 95th percentile is the value at index floor(0.95 n) of the sorted latencies, at most the last.
     """
+    # Equal latencies are counted before anything is ordered, so a model with many runs is a short list of values.
+    values = runs.groupBy("model", "latency").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("valid").cast("int")).alias("v"), F.count("valid").alias("vn"), F.sum(F.col("agrees").cast("int")).alias("a"), F.count("agrees").alias("an"))
     order = Window.partitionBy("model").orderBy("latency")
-    ranked = runs.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("model")))
-    at = F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)
-    return ranked.groupBy("model").agg(F.max("n").alias("n"), F.median("latency").alias("median"), F.max(F.when(F.col("i") == at, F.col("latency"))).alias("p95"), F.avg(F.col("valid").cast("int")).alias("valid_rate"), F.avg(F.col("agrees").cast("int")).alias("agreement"))
+    upto = values.withColumn("upto", F.sum("k").over(order))
+    totals = values.groupBy("model").agg(F.sum("k").alias("n"), F.try_divide(F.sum("v"), F.sum("vn")).alias("valid_rate"), F.try_divide(F.sum("a"), F.sum("an")).alias("agreement"))
+    placed = upto.select("model", "latency", "upto").join(totals, "model")
+
+    def value(index: Column) -> Column:
+        return F.min(F.when(F.col("upto") > index, F.col("latency")))
+
+    n = F.col("n")
+    return placed.groupBy("model").agg(
+        F.max("n").alias("n"),
+        ((value(F.floor((n - 1) / 2)) + value(F.floor(n / 2))) / 2).alias("median"),
+        value(F.least(F.floor(n * 0.95), n - 1)).alias("p95"),
+        F.max("valid_rate").alias("valid_rate"),
+        F.max("agreement").alias("agreement"),
+    )
 
 
 def bundle(chains: DataFrame, paths: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,11 @@ def counts(rows: DataFrame, *columns: str) -> DataFrame:
 
 def summary(rows: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
     """(column, n) with a row for each of ``values``, zero where there is none, and their total."""
-    own = rows.filter(F.lower(F.trim(column)).isin(*values)).groupBy(F.lower(F.trim(column)).alias(column)).agg(F.count(F.lit(1)).alias("n"))
-    frame = rows.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
-    filled = frame.join(own, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
-    return filled.unionByName(filled.agg(F.lit("total").alias(column), F.sum("n").alias("n")))
+    value = F.lower(F.trim(column))
+    known = rows.select(F.when(value.isin(*values), value).alias(column)).filter(F.col(column).isNotNull())
+    tallied = known.agg(*[F.count_if(F.col(column) == v).alias(v) for v in values])
+    pairs = [F.struct(F.lit(v).alias(column), F.col(v).alias("n")) for v in values] + [F.struct(F.lit("total").alias(column), reduce(Column.__add__, [F.col(v) for v in values]).alias("n"))]
+    return tallied.select(F.inline(F.array(*pairs)))
 
 
 def severity_summary(findings: DataFrame) -> DataFrame:
@@ -43,7 +46,7 @@ def verdict_summary(chains: DataFrame) -> DataFrame:
 
 
 def actionable(chains: DataFrame, threshold: float = ACTIONABLE) -> DataFrame:
-    """Active, validated, exploitable chains of at least the confidence, surest first, then oldest, then by id."""
+    """Active, validated, exploitable chains of at least the confidence, surest first, then newest, then by id."""
     found = chains.filter((F.col("status") == "active") & F.col("validated") & (F.lower(F.trim("verdict")) == "exploitable") & (F.col("confidence") >= threshold))
     return found.orderBy(F.col("confidence").desc(), F.col("created_at").desc(), "id")
 

@@ -10,11 +10,12 @@ from ..operators import paths, reports, scoring, validation
 from ..tables import latest, table
 from .projection import projected_graph
 
-_CHAIN = ["id", "chain_nodes", "chain_edges", "verdict", "confidence", "reasoning", "voter_outputs", "validated", "validated_kind", "status", "created_at", "updated_at"]
+_SCORED_NODES = (*g.WALK_NODES, "name", "confidence", "attributes")
 
 
-def stored_chains(spark: SparkSession, folder: str) -> DataFrame:
-    return latest(table(spark, folder, "chains"), "id", _CHAIN)
+def stored_chains(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The latest row of every chain, with ``id`` and the named columns only."""
+    return latest(table(spark, folder, "chains"), "id", ["id", *columns])
 
 
 def _joined(column: str):
@@ -22,40 +23,40 @@ def _joined(column: str):
 
 
 def nodes_by_kind(spark, folder):
-    return reports.by_kind(g.stored_graph(spark, folder).nodes)
+    return reports.by_kind(g.stored_nodes(spark, folder, "kind"))
 
 
 def edges_by_kind(spark, folder):
-    return reports.by_kind(g.stored_graph(spark, folder).edges)
+    return reports.by_kind(g.stored_edges(spark, folder, "kind"))
 
 
 def subgraph_control(spark, folder):
-    sub = g.subgraph(g.stored_graph(spark, folder), ["agent", "tool", "llm_endpoint"], list(g.CONTROL_EDGES))
+    sub = g.subgraph(g.stored_graph(spark, folder, ("kind", "status"), ("source_id", "target_id", "kind", "status")), ["agent", "tool", "llm_endpoint"], list(g.CONTROL_EDGES))
     return sub.edges.select("id", "source_id", "target_id", "kind")
 
 
 def _near(depth):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        graph = g.stored_graph(spark, folder)
+        graph = g.stored_graph(spark, folder, ("kind", "status"), ("source_id", "target_id", "status"))
         return g.neighbours(graph, graph.nodes.filter("status = 'active' and kind = 'store'"), depth)
 
     return query
 
 
 def sinks_by_capability(spark, folder):
-    return g.sinks(g.stored_graph(spark, folder).nodes, ())
+    return g.sinks(g.stored_nodes(spark, folder, "kind", "capabilities", "status"), ())
 
 
 def _chains(**options):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        found = paths.find_chains(g.stored_graph(spark, folder), **options)
+        found = paths.find_chains(g.stored_graph(spark, folder, g.WALK_NODES, g.WALK_EDGES), **options)
         return found.select("chain_id", _joined("nodes").alias("nodes"), _joined("edges").alias("edges"), "length")
 
     return query
 
 
 def chains_by_entry(spark, folder):
-    return reports.by_entry(paths.find_chains(g.stored_graph(spark, folder), max_candidates=None))
+    return reports.by_entry(paths.find_chains(g.stored_graph(spark, folder, g.WALK_NODES, g.WALK_EDGES), max_candidates=None))
 
 
 def projected_chains_by_entry(spark, folder):
@@ -63,27 +64,27 @@ def projected_chains_by_entry(spark, folder):
 
 
 def _write_chains(spark, folder):
-    graph = g.stored_graph(spark, folder)
+    graph = g.stored_graph(spark, folder, g.WALK_NODES, g.LINK_EDGES)
     found = paths.write_chains(graph, graph.nodes.filter("status = 'active' and kind = 'store'"))
     return found.select("anchor", "chain_id", _joined("nodes").alias("nodes"), "link")
 
 
 def _read_chains(spark, folder):
-    graph = g.stored_graph(spark, folder)
+    graph = g.stored_graph(spark, folder, g.WALK_NODES, g.WALK_EDGES)
     found = paths.read_chains(graph, graph.nodes.filter("status = 'active' and kind = 'untrusted_source'"))
     return found.select("anchor", "chain_id", _joined("nodes").alias("nodes"))
 
 
 def _groups(**options):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        found = paths.chain_groups(g.stored_graph(spark, folder), **options)
+        found = paths.chain_groups(g.stored_graph(spark, folder, g.WALK_NODES, g.LINK_EDGES), **options)
         return found.select("group_id", "source_id", "store_id", "write_id", "read_id", "store_confidence", "weak")
 
     return query
 
 
 def _scores(spark, folder):
-    graph = g.stored_graph(spark, folder)
+    graph = g.stored_graph(spark, folder, _SCORED_NODES, g.LINK_EDGES)
     groups = paths.chain_groups(graph, max_groups=None, include_weak=True)
     return scoring.score_groups(groups, graph.nodes)
 
@@ -97,34 +98,33 @@ def group_priority_topn(spark, folder):
 
 
 def validate_edges(spark, folder):
-    lists = stored_chains(spark, folder).select(F.col("id").alias("list"), F.col("chain_edges").alias("ids"))
-    found = validation.validate_edges(lists, g.stored_graph(spark, folder).edges)
+    lists = stored_chains(spark, folder, "chain_edges").select(F.col("id").alias("list"), F.col("chain_edges").alias("ids"))
+    found = validation.validate_edges(lists, g.stored_edges(spark, folder, "kind"))
     return found.select(F.col("list").alias("chain_id"), F.size("existing").cast("bigint").alias("n_existing"), _joined("missing").alias("missing"))
 
 
 def validate_chains(spark, folder):
-    found = validation.validate_chains(stored_chains(spark, folder), g.stored_graph(spark, folder))
+    found = validation.validate_chains(stored_chains(spark, folder, "chain_nodes", "chain_edges"), g.stored_graph(spark, folder, ("kind", "capabilities", "attributes"), ("source_id", "target_id", "kind")))
     return found.select("id", "ok", "validated_kind", F.size("notes").cast("bigint").alias("n_notes"))
 
 
 def anchors_usable(spark, folder):
-    return validation.usable_anchors(g.stored_graph(spark, folder))
+    return validation.usable_anchors(g.stored_graph(spark, folder, ("kind", "capabilities", "attributes"), ("source_id", "target_id", "kind")))
 
 
 def lethal_trifecta(spark, folder):
-    nodes = g.stored_graph(spark, folder).nodes
+    nodes = g.stored_nodes(spark, folder, "capabilities")
     return nodes.select("id", F.array_join(scoring.trifecta_hits("capabilities"), "+").alias("hits")).filter("hits <> ''")
 
 
 def orphan_entries(spark, folder):
-    graph = g.stored_graph(spark, folder)
+    graph = g.stored_graph(spark, folder, ("kind", "status"), ("source_id", "kind", "status"))
     out = graph.edges.filter("status = 'active' and kind = 'delegates_to'").select(F.col("source_id").alias("id"))
     return graph.nodes.filter("status = 'active' and kind = 'entry_point'").select("id").join(out, "id", "left_anti")
 
 
 def paths_named(spark, folder):
-    graph = g.stored_graph(spark, folder)
-    return reports.paths_named(stored_chains(spark, folder), graph.nodes, "id", "chain_nodes")
+    return reports.paths_named(stored_chains(spark, folder, "chain_nodes"), g.stored_nodes(spark, folder, "kind", "name"), "id", "chain_nodes")
 
 
 QUERIES = {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import closure, evaluation, facts, merge, reports, rows
-from ..operators.graph import stored_graph
+from ..operators.graph import Graph, stored_edges, stored_graph, stored_nodes
 from ..tables import latest, table
 from .graph_queries import LATEST, stored_chains
 
@@ -46,35 +46,35 @@ def write_counts(spark, folder):
 
 
 def combine_signals(spark, folder):
-    links = stored_graph(spark, folder).edges.filter("kind = 'writes_to' and identity_confidence is not null")
+    links = stored_edges(spark, folder, "kind", "target_id", "identity_confidence").filter("kind = 'writes_to' and identity_confidence is not null")
     signals = links.groupBy("target_id").agg(F.array_sort(F.collect_list("identity_confidence")).alias("s"))
     return signals.select("target_id", F.round(merge.combine_signals(F.lit(0.3), F.col("s")), 9).alias("combined"))
 
 
 def vote_aggregate(spark, folder):
-    votes = evaluation.votes_of(stored_chains(spark, folder))
+    votes = evaluation.votes_of(stored_chains(spark, folder, "voter_outputs"))
     return evaluation.aggregate_votes(votes, table(spark, folder, "voters")).select("chain_id", "verdict", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"), "n_valid")
 
 
 def evidence_present(spark, folder):
-    chains = stored_chains(spark, folder)
+    chains = stored_chains(spark, folder, "chain_edges", "voter_outputs")
     return evaluation.evidence_present(evaluation.votes_of(chains), chains)
 
 
 def guardrails_for_chain(spark, folder):
-    return evaluation.guardrails_of_chains(stored_chains(spark, folder), stored_graph(spark, folder))
+    return evaluation.guardrails_of_chains(stored_chains(spark, folder, "chain_nodes"), stored_graph(spark, folder, ("kind", "name", "attributes", "status"), ("source_id", "target_id", "kind", "status")))
 
 
 def hop_edges(spark, folder):
-    return evaluation.hop_edges(stored_chains(spark, folder), stored_graph(spark, folder))
+    return evaluation.hop_edges(stored_chains(spark, folder, "chain_nodes"), Graph(None, stored_edges(spark, folder, "source_id", "target_id", "kind", "flow_kind", "status")))
 
 
 def verdict_summary(spark, folder):
-    return rows.verdict_summary(stored_chains(spark, folder))
+    return rows.verdict_summary(stored_chains(spark, folder, "verdict", "validated", "status"))
 
 
 def verdict_pivot_by_entry(spark, folder):
-    return reports.verdicts_by_entry(stored_chains(spark, folder))
+    return reports.verdicts_by_entry(stored_chains(spark, folder, "chain_nodes", "verdict"))
 
 
 def groups_by_priority(spark, folder):
@@ -82,7 +82,7 @@ def groups_by_priority(spark, folder):
 
 
 def list_actionable(spark, folder):
-    return rows.actionable(stored_chains(spark, folder)).select("id", "confidence")
+    return rows.actionable(stored_chains(spark, folder, "verdict", "confidence", "validated", "status", "created_at")).select("id", "confidence")
 
 
 def severity_summary(spark, folder):
@@ -101,8 +101,8 @@ def findings_stale(spark, folder):
 
 
 def mark_stale_for_nodes(spark, folder):
-    nodes = stored_graph(spark, folder).nodes.filter("status = 'stale'")
-    return rows.stale_for_nodes(stored_chains(spark, folder), nodes)
+    nodes = stored_nodes(spark, folder, "status").filter("status = 'stale'")
+    return rows.stale_for_nodes(stored_chains(spark, folder, "chain_nodes", "status"), nodes)
 
 
 def cleanup_stale(spark, folder):
@@ -111,7 +111,7 @@ def cleanup_stale(spark, folder):
 
 
 def shifted_confidence(spark, folder):
-    nodes = stored_graph(spark, folder).nodes
+    nodes = stored_nodes(spark, folder, "confidence")
     return nodes.select("id", F.round(rows.shifted(F.col("confidence"), F.lit(-0.25)), 9).alias("confidence"))
 
 
@@ -138,18 +138,18 @@ def task_counters(spark, folder):
 
 
 def latency_statistics(spark, folder):
-    votes = evaluation.votes_of(stored_chains(spark, folder)).filter("confidence is not null")
+    votes = evaluation.votes_of(stored_chains(spark, folder, "voter_outputs")).filter("confidence is not null")
     return reports.latency_statistics(votes.select(F.col("voter").alias("model"), F.col("confidence").alias("latency"), (~F.col("timeout")).alias("valid"), F.col("exploitable").alias("agrees"))).select("model", "n", F.round("median", 6).alias("median"), "p95", F.round("valid_rate", 6).alias("valid_rate"), F.round("agreement", 6).alias("agreement"))
 
 
 def reachability_closure(spark, folder):
-    graph = stored_graph(spark, folder)
+    graph = stored_graph(spark, folder, ("kind",), ("source_id", "target_id", "kind", "status"))
     steps = graph.edges.filter("status = 'active' and kind in ('delegates_to', 'uses_tool')").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
     return closure.closure(graph.nodes.filter("kind = 'entry_point'").select(F.col("id").alias("start")), steps)
 
 
 def _placed(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = stored_graph(spark, folder).nodes
+    nodes = stored_nodes(spark, folder, "kind", "attributes")
     return nodes.select("id", "kind", F.get_json_object("attributes", "$.file").alias("file"), F.get_json_object("attributes", "$.line").cast("int").alias("line")).filter("file is not null and line is not null")
 
 

@@ -25,12 +25,17 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8,
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """A checkpoint of ``df`` in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is read from the session's settings. Only where it is unset (tests, local runs) a folder below the
-    SQL warehouse directory is used; a machine-local temporary folder would be lost with an executor.
+    The folder is read from the session's settings. Only a local session (tests, a bench) may go without the setting and
+    gets a folder below the SQL warehouse directory; on a cluster a missing setting raises RuntimeError, as a folder of one
+    machine would be lost with it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint(eager)
