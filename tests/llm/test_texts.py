@@ -1,12 +1,14 @@
 import random
 import unicodedata
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skeinflow.llm import near_copies, packing
-from skeinflow.llm.leaks import covered, leaks, words_of
+from skeinflow.llm.components import components
+from skeinflow.llm.leaks import Index, leaks, words_of
 from skeinflow.llm.lookalike_pairs import look_classes, same_look_pairs
 from skeinflow.llm.lookalikes import canonical, look_key
 
@@ -86,21 +88,53 @@ def test_leaks(spark):
     assert leaks(d, q.limit(0)).count() == 0 and leaks(d.limit(0), q).count() == 0
 
 
-def test_dense_edits_after_one_shingle_are_found(spark):
+def test_close_edits_are_found_while_five_words_stand(spark):
     words = [f"{w}{k}" for k, w in enumerate(WORDS)]
-    edited = [w if k < 5 or (k - 5) % 4 else f"changed{k}" for k, w in enumerate(words)]
-    d = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join(words[:5] + ["x"] * 40))], "doc_id long, text string")
+    edited = [w if k % 6 else f"changed{k}" for k, w in enumerate(words)]
+    d = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join(words[:5] + ["x"] * 40)), (3, " ".join(w if k % 5 else "x" for k, w in enumerate(words)))], "doc_id long, text string")
     assert [(r.doc_id, r.item_id) for r in leaks(d, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).collect()] == [(1, 7)]
 
 
-def test_covered_words():
-    item = [f"w{i}" for i in range(20)]
-    everything = set(range(20))
-    assert covered(item, everything, [item]) == 20
-    assert covered(item, everything, [item[10:] + ["x"] * 30 + item[:10]]) == 20
-    assert covered(item, everything, [item[:4]]) == 0
-    assert covered(item, everything, [item[:8] + ["z"] + item[9:]]) == 19
-    assert words_of("Ａ_b—Ｃ\u200bd _x_ __") == ["a_b", "cd", "x"]
+def test_items_of_many_suites_keep_their_shingles(spark):
+    text = " ".join(f"{w}{k}" for k, w in enumerate(WORDS))
+    other = " ".join(f"{w}{k + 50}" for k, w in enumerate(WORDS))
+    # Equal words in five spellings, a near copy, and a text that only shares the last sentence with all of them.
+    same = [text, text.upper(), text.replace(" ", "\n"), text + "!", text.replace("a", "а")]
+    near = text.replace("minor18", "minus18") if "minor18" in text else text.replace(text.split()[18], "minus18")
+    items = [*enumerate(same), (5, near), (6, other + " " + " ".join(text.split()[-8:])), (7, text), (7, text)]
+    d = spark.createDataFrame([(1, "before " + text + " behind"), (2, other), (2, other), (3, " ".join(text.split()[-8:]))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (1, 7), (2, 6)]
+
+
+def _brute_share(item, own, words):
+    known = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    places = {q for p in own for q in range(p, p + 5)}
+    return len({q for p in own if tuple(item[p : p + 5]) in known for q in range(p, p + 5)}) / len(places)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([0.3, 0.5, 0.8, 1.0]))
+def test_prefixes_and_bounds_lose_no_case(seed, share):
+    rng = random.Random(seed)
+    items = [[rng.choice(WORDS[:12]) for _ in range(rng.randrange(5, 40))] for _ in range(6)]
+    own = [sorted(rng.sample(range(len(w) - 4), rng.randrange(1, len(w) - 3))) for w in items]
+    frequency = {}
+    rows = [(str(i), int(packing.shingles(w)[p]), p, len(w), frequency.setdefault(int(packing.shingles(w)[p]), rng.choice([0, 0, 1, 5, 90]))) for i, w in enumerate(items) for p in own[i]]
+    index = Index(pd.DataFrame(rows, columns=["rep", "code", "pos", "n_words", "frequency"]), share)
+    for _ in range(15):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            w = rng.choice(items)
+            a = rng.randrange(len(w))
+            words += w[a : a + rng.randrange(1, 40)] + [rng.choice(WORDS)] * rng.randrange(3)
+        want = {str(i): round(_brute_share(w, own[i], words), 9) for i, w in enumerate(items) if _brute_share(w, own[i], words) >= share - 1e-9}
+        found = index.cases(words)
+        assert {r: round(s, 9) for r, s, _ in found} == want and all(best <= s + 1e-9 for _, s, best in found)
+
+
+def test_words():
+    assert words_of("Ａ_b—Ｃ\u200bd _x_ __") == ["a_b", "cd", "x"] and words_of(None) == []
 
 
 @settings(max_examples=60, deadline=None)
@@ -167,7 +201,7 @@ def test_near_copies_do_not_share_containers(spark):
 
 def test_long_chains_are_one_component(spark):
     pairs = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
-    assert {r.cluster: r.near for r in near_copies._components(pairs).collect()} == dict.fromkeys(range(41), 0) | {100: 100, 101: 100}
+    assert {r.cluster: r.near for r in components(pairs).collect()} == dict.fromkeys(range(41), 0) | {100: 100, 101: 100}
 
 
 def test_packing_is_whole(spark):
