@@ -19,14 +19,15 @@ def clean_key(key: Column) -> Column:
     return F.lower(F.btrim(key, F.lit(BLANKS)))
 
 
-def latest(rows: DataFrame, key: str, columns: list[str], version: str = "updated_at") -> DataFrame:
-    """The latest row of every key of a versioned table, with ``key`` and ``columns``.
+def latest(rows: DataFrame, key: str | list[str], columns: list[str], version: str = "updated_at") -> DataFrame:
+    """The latest row of every key (one column or several) of a versioned table, with ``key`` and ``columns``.
 
     One shuffle on the key with map-side combine. Rows with equal versions (re-deliveries) are settled by the other
     columns' order, so the result is the same on every run; a null version counts as the oldest. A null key is a key.
     Columns whose type has no order (maps) are not accepted.
     """
-    others = [c for c in columns if c not in (key, version)]
+    keys = [key] if isinstance(key, str) else key
+    others = [c for c in columns if c not in (*keys, version)]
     state = F.struct(F.coalesce(F.col(version).cast("timestamp"), F.lit("0001-01-01").cast("timestamp")).alias("_v"), F.col(version), *others)
-    picked = rows.groupBy(key).agg(F.max(state).alias("_row"))
-    return picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in columns if c != key])
+    picked = rows.groupBy(*keys).agg(F.max(state).alias("_row"))
+    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in columns if c not in keys])
