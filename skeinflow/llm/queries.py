@@ -12,7 +12,7 @@ from .leaks import leaks
 from .lookalike_pairs import look_classes, same_look_pairs
 from .lookalikes import canonical_column
 from .packing import pack, room_left
-from .topn import top_n
+from .topn import parted, top_n
 from .validity import broken, broken_rates
 
 
@@ -20,9 +20,10 @@ from .validity import broken, broken_rates
 
 
 def _best_groups(spark: SparkSession, folder: str) -> DataFrame:
-    rows = latest(table(spark, folder, "chain_groups"), "id", ["id", "untrusted_source_id", "score", "priority", "status"])
-    rows = rows.filter("status = 'active'").withColumn("place", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for x in ("high", 0, "medium", 1, "low", 2)]), F.lower(F.trim("priority"))), F.lit(3)))
-    return top_n(rows, "untrusted_source_id", "score", [F.col("score").desc(), F.col("place"), F.col("id")], 10)
+    place = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for x in ("high", 0, "medium", 1, "low", 2)]), F.lower(F.trim("priority"))), F.lit(3))
+    rows = table(spark, folder, "chain_groups").select("id", "untrusted_source_id", "score", place.alias("place"), "status", "updated_at")
+    last = latest(parted(rows, "id", "part"), ["part", "id"], ["untrusted_source_id", "score", "place", "status"]).filter("status = 'active'")
+    return top_n(last, "untrusted_source_id", "score", [F.col("place"), F.col("id")], 10, "part")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

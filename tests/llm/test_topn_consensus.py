@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from skeinflow.llm import consensus as c
-from skeinflow.llm.topn import top_n
+from skeinflow.llm.topn import parted, top_n
 
 
 def test_top_n_against_sorting(spark):
@@ -11,14 +11,17 @@ def test_top_n_against_sorting(spark):
     rows = [(f"id{i}", rng.choice(["hot", "hot", "hot", f"g{i % 40}", None]), rng.choice([None, float("nan"), 1.0, 2.0, 3.0, rng.random()]), "x") for i in range(3000)]
     frame = spark.createDataFrame(rows, "id string, grp string, score double, place string").repartition(7)
     got = {}
-    for r in top_n(frame, "grp", "score", [F.col("score").desc(), F.col("id")], 4).collect():
+    for r in top_n(frame, "grp", "score", [F.col("id")], 4).collect():
         got.setdefault(r.grp, []).append(r.id)
+    assert sorted(map(str, top_n(parted(frame, "id", "p"), "grp", "score", [F.col("id")], 4, "p").drop("p").collect())) == sorted(map(str, top_n(frame, "grp", "score", [F.col("id")], 4).collect()))
     want = {}
     for i, g, s, _ in sorted(rows, key=lambda r: (-(r[2] if r[2] is not None and r[2] == r[2] else -1e9), r[0])):
         if s is not None and s == s and len(want.setdefault(g, [])) < 4:
             want[g].append(i)
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if v}
-    assert top_n(frame.limit(0), "grp", "score", [F.col("score").desc()], 2).count() == 0
+    assert top_n(frame.limit(0), "grp", "score", [], 2).count() == 0
+    zeros = spark.createDataFrame([("a", 0.0), ("b", -0.0), ("c", 0.0)], "id string, score double").withColumn("g", F.lit(1))
+    assert [r.id for r in top_n(zeros, "g", "score", [F.col("id")], 2).orderBy("id").collect()] == ["a", "b"]
 
 
 VOTE = "array<struct<model:string,exploitable:boolean,confidence:double,reasoning:string,evidence:array<string>,timeout:boolean>>"
