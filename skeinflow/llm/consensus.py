@@ -12,9 +12,11 @@ voter; only those reach the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -84,27 +86,47 @@ def _probability(log_odds: Column) -> Column:
     return 1 / (1 + F.exp(-log_odds))
 
 
-def fit_voters(items: DataFrame, votes: str, max_rounds: int = 60, tolerance: float = 1e-4, max_voters: int = 20_000) -> list[Voter]:
+#: Columns of a panel kept as a table.
+RATES = "voter string, knows double, opposes double, yes double, answers double, right double, support_yes double, support_no double"
+
+
+@dataclass
+class Panel:
+    """The fitted voters: a list on the driver for a short panel, else a table. The rates are the same either way."""
+
+    voters: list[Voter] | None = None
+    table: DataFrame | None = None
+
+    def rates(self, spark: SparkSession) -> DataFrame:
+        """One row per voter, with the columns of ``RATES``."""
+        if self.table is not None:
+            return self.table
+        return spark.createDataFrame([_row(v) for v in self.voters or []], RATES)
+
+
+def _row(v: Voter) -> tuple:
+    return v.name, v.knows, v.opposes, v.yes, float(v.answers), float(v.right), v.support(1), v.support(0)
+
+
+def fit_voters(items: DataFrame, votes: str, max_rounds: int = 60, tolerance: float = 1e-4, short_panel: int = 500) -> Panel:
     """Rates of every voter of ``items``, whose column ``votes`` has what ``answers`` returns.
 
     Starts from unweighted majorities and ends when no voter's support moves by more than ``tolerance``, or after
-    ``max_rounds``. More than ``max_voters`` voters raise ValueError, as their rates are kept on the driver. No items, or
-    none with answers, give no voters.
+    ``max_rounds``. The rates of up to ``short_panel`` voters are kept on the driver and become literals of the plans; those
+    of more voters stay in a table that is joined. No items, or none with answers, give no voters.
     """
-    names = [r[0] for r in items.select(F.explode(F.col(votes)["voter"]).alias("v")).groupBy("v").count().orderBy("v").select("v").limit(max_voters + 1).collect()]
-    if len(names) > max_voters:
-        raise ValueError(f"more than {max_voters} voters")
+    patterns = cut_lineage(items.select(F.col(votes).alias("votes")).filter(F.size("votes") > 0).groupBy("votes").agg(F.count(F.lit(1)).alias("n")))
+    names = [r[0] for r in patterns.select(F.explode(F.col("votes")["voter"]).alias("v")).distinct().limit(short_panel + 1).collect()]
+    if len(names) > short_panel:
+        return Panel(table=_fit_table(patterns, max_rounds, tolerance))
     if not names:
-        return []
-    voters = [Voter(n) for n in names]
-    index = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(2 * i))])
-    coded = F.transform(F.col(votes), lambda v: F.element_at(index, v["voter"]) + v["yes"].cast("int"))
-    patterns = cut_lineage(items.select(coded.alias("codes")).filter(F.size("codes") > 0).groupBy("codes").agg(F.count(F.lit(1)).alias("n")))
-
+        return Panel([])
+    voters = [Voter(n) for n in sorted(names)]
+    coded = cut_lineage(patterns.select(_codes("votes", voters).alias("codes"), "n"))
     support = [1.0 if code % 2 else -1.0 for code in range(2 * len(voters))]
     for _ in range(max_rounds):
         p = _probability(_log_odds(F.col("codes"), support))
-        sums = patterns.select((F.col("n") * p).alias("yes"), (F.col("n") * (1 - p)).alias("no"), F.explode("codes").alias("code")).groupBy("code").agg(F.sum("no"), F.sum("yes")).collect()
+        sums = coded.select((F.col("n") * p).alias("yes"), (F.col("n") * (1 - p)).alias("no"), F.explode("codes").alias("code")).groupBy("code").agg(F.sum("no"), F.sum("yes")).collect()
         counts = [[[0.0, 0.0], [0.0, 0.0]] for _ in voters]
         for code, no, yes in sums:
             counts[code // 2][0][code % 2] = no
@@ -114,21 +136,64 @@ def fit_voters(items: DataFrame, votes: str, max_rounds: int = 60, tolerance: fl
         last, support = support, [v.support(answer) for v in voters for answer in (0, 1)]
         if max(abs(a - b) for a, b in zip(last, support)) <= tolerance:
             break
-    return voters
+    return Panel(voters)
+
+
+def _codes(votes: str, voters: list[Voter]) -> Column:
+    index = F.create_map(*[x for i, v in enumerate(voters) for x in (F.lit(v.name), F.lit(2 * i))])
+    return F.transform(F.col(votes), lambda v: F.element_at(index, v["voter"]) + v["yes"].cast("int"))
+
+
+def _refit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for r in pdf.itertuples(index=False):
+            voter = Voter(r.voter, r.knows, r.opposes, r.yes)
+            voter.refit([[r.no_no, r.no_yes], [r.yes_no, r.yes_yes]])
+            rows.append((*_row(voter), max(abs(voter.support(1) - r.support_yes), abs(voter.support(0) - r.support_no))))
+        yield pd.DataFrame(rows, columns=[*(c.split()[0] for c in RATES.split(", ")), "moved"])
+
+
+def _supported(cells: DataFrame, rates: DataFrame, salts: int = 16) -> DataFrame:
+    """``cells`` (row, voter, yes, ...) with the support each answer lends; one voter's answers are spread over ``salts`` keys."""
+    spread = rates.select("voter", "support_yes", "support_no").withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(salts)])))
+    salted = cells.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    return salted.join(spread, ["voter", "salt"]).withColumn("support", F.when(F.col("yes"), F.col("support_yes")).otherwise(F.col("support_no"))).drop("salt", "support_yes", "support_no")
+
+
+def _fit_table(patterns: DataFrame, max_rounds: int, tolerance: float) -> DataFrame:
+    """The rounds of ``fit_voters`` as joins and aggregations; only the largest movement reaches the driver."""
+    numbered = cut_lineage(patterns.withColumn("row", F.monotonically_increasing_id()))
+    cells = cut_lineage(numbered.select("row", "n", F.explode("votes").alias("v")).select("row", "n", "v.voter", "v.yes"))
+    start = Voter("")
+    rates = cells.select("voter").distinct().select("voter", F.lit(start.knows).alias("knows"), F.lit(start.opposes).alias("opposes"), F.lit(start.yes).alias("yes"), F.lit(1.0).alias("support_yes"), F.lit(-1.0).alias("support_no"))
+    for _ in range(max_rounds):
+        odds = _supported(cells, rates).groupBy("row").agg(F.sum("support").alias("odds")).select("row", _probability(F.col("odds")).alias("p"))
+        yes, weight = F.col("yes"), F.col("n") * F.col("p")
+        rest = F.col("n") - weight
+        counts = cells.join(odds, "row").groupBy("voter").agg(F.sum(F.when(~yes, rest).otherwise(0.0)).alias("no_no"), F.sum(F.when(yes, rest).otherwise(0.0)).alias("no_yes"), F.sum(F.when(~yes, weight).otherwise(0.0)).alias("yes_no"), F.sum(F.when(yes, weight).otherwise(0.0)).alias("yes_yes"))
+        moved = cut_lineage(rates.select("voter", "knows", "opposes", "yes", "support_yes", "support_no").join(counts, "voter").mapInPandas(_refit, RATES + ", moved double"))
+        rates = moved.drop("moved")
+        if moved.agg(F.max("moved")).first()[0] <= tolerance:
+            break
+    return rates
 
 
-def consensus(items: DataFrame, votes: str, voters: list[Voter]) -> DataFrame:
+def consensus(items: DataFrame, votes: str, panel: Panel) -> DataFrame:
     """``items`` with ``consensus`` (true: yes), ``probability`` of it and ``agreement``.
 
     ``agreement`` is the share of the item's voters that gave the consensus answer. An item without answers, or with
     exactly balanced support, has the consensus null; the agreement is then null as well.
     """
-    if not voters:
-        return items.select("*", F.lit(None).cast("boolean").alias("consensus"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("double").alias("agreement"))
-    index = F.create_map(*[x for i, v in enumerate(voters) for x in (F.lit(v.name), F.lit(2 * i))])
-    support = [v.support(answer) for v in voters for answer in (0, 1)]
-    codes = F.transform(F.col(votes), lambda v: F.element_at(index, v["voter"]) + v["yes"].cast("int"))
-    odds = _log_odds(codes, support)
+    if panel.table is None:
+        odds = _log_odds(_codes(votes, panel.voters), [v.support(answer) for v in panel.voters for answer in (0, 1)]) if panel.voters else F.lit(0.0)
+        rows = items.withColumn("_odds", odds)
+    else:
+        numbered = cut_lineage(items.withColumn("_row", F.monotonically_increasing_id()))
+        cells = numbered.select(F.col("_row").alias("row"), F.explode(votes).alias("v")).select("row", "v.voter", "v.yes")
+        sums = _supported(cells, panel.table).groupBy("row").agg(F.sum("support").alias("_odds"))
+        rows = numbered.join(sums, F.col("_row") == F.col("row"), "left").withColumn("_odds", F.coalesce("_odds", F.lit(0.0)))
+    odds = F.col("_odds")
     yes = F.when((F.size(votes) > 0) & (F.abs(odds) > 1e-12), odds > 0)
     same = F.size(F.filter(F.col(votes), lambda v: v["yes"] == (odds > 0)))
-    return items.select("*", yes.alias("consensus"), F.when(yes.isNotNull(), _probability(F.abs(odds))).alias("probability"), F.when(yes.isNotNull(), same / F.size(votes)).alias("agreement"))
+    return rows.select(*items.columns, yes.alias("consensus"), F.when(yes.isNotNull(), _probability(F.abs(odds))).alias("probability"), F.when(yes.isNotNull(), same / F.size(votes)).alias("agreement"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..tables import latest, table
 from . import consensus as votes
 from .handwritten import not_handwritten
@@ -60,10 +61,11 @@ def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
 # --- 5: consensus of voters -------------------------------------------------------------------------------------------
 
 
-def _judged(spark: SparkSession, folder: str) -> tuple[DataFrame, list[votes.Voter]]:
+def _judged(spark: SparkSession, folder: str) -> tuple[DataFrame, votes.Panel]:
     rows = latest(table(spark, folder, "chains").withColumn("votes", votes.answers(F.col("voter_outputs"))), "id", ["id", "verdict", "confidence", "status", "votes"])
-    voters = votes.fit_voters(rows, "votes")
-    return votes.consensus(rows, "votes", voters), voters
+    rows = cut_lineage(rows)  # the fit and the result read it
+    panel = votes.fit_voters(rows, "votes")
+    return votes.consensus(rows, "votes", panel), panel
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,9 +80,12 @@ def p5_consensus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_voters(spark: SparkSession, folder: str) -> DataFrame:
-    _, voters = _judged(spark, folder)
-    rows = [(v.name, int(round(v.answers)), round(v.knows - v.opposes, 4), round(v.knows, 4), round(v.opposes, 4), round(v.yes, 4), round(v.right / max(v.answers, 1), 4), v.support(1), v.support(0)) for v in voters]
-    return spark.createDataFrame(rows, "voter string, n_answers bigint, reliability double, knows double, opposes double, guesses_yes double, agrees double, support_of_yes double, support_of_no double")
+    _, panel = _judged(spark, folder)
+    rates = panel.rates(spark)
+    return rates.select(
+        "voter", F.round("answers").cast("bigint").alias("n_answers"), F.round(F.col("knows") - F.col("opposes"), 4).alias("reliability"), F.round("knows", 4).alias("knows"), F.round("opposes", 4).alias("opposes"),
+        F.round("yes", 4).alias("guesses_yes"), F.round(F.col("right") / F.greatest("answers", F.lit(1.0)), 4).alias("agrees"), F.col("support_yes").alias("support_of_yes"), F.col("support_no").alias("support_of_no"),
+    )
 
 
 # --- 6: containers of tokens ------------------------------------------------------------------------------------------

@@ -47,10 +47,11 @@ def test_consensus_finds_the_truth_and_the_contrarian(spark):
         rows.append((i, [vote(m, True if right[m] is None else truth[i] == (rng.random() < right[m])) for m in panel]))
     rows.append((9999, []))
     items = spark.createDataFrame(rows, f"id int, v {VOTE}").select("id", c.answers(F.col("v")).alias("votes"))
-    voters = {v.name: v for v in c.fit_voters(items, "votes")}
+    panel = c.fit_voters(items, "votes")
+    voters = {v.name: v for v in panel.voters}
     worth = {n: v.knows - v.opposes for n, v in voters.items()}
     assert worth["good1"] > 0.7 and worth["contra"] < -0.5 and abs(worth["coin"]) < 0.2 and abs(worth["yes"]) < 0.2
-    got = {r.id: r for r in c.consensus(items, "votes", list(voters.values())).collect()}
+    got = {r.id: r for r in c.consensus(items, "votes", panel).collect()}
     assert got[9999].consensus is None and got[9999].agreement is None
     majority = sum((sum(v[1] for v in vs) * 2 > len(vs)) == truth[i] for i, vs in rows if vs)
     assert sum(got[i].consensus == truth[i] for i in truth) > max(majority, 0.88 * 1500)
@@ -58,4 +59,19 @@ def test_consensus_finds_the_truth_and_the_contrarian(spark):
 
 def test_no_votes(spark):
     items = spark.createDataFrame([(1, [])], f"id int, v {VOTE}").select("id", c.answers(F.col("v")).alias("votes"))
-    assert c.fit_voters(items, "votes") == [] and c.consensus(items, "votes", []).collect()[0].consensus is None
+    panel = c.fit_voters(items, "votes")
+    assert panel.voters == [] and panel.rates(spark).count() == 0 and c.consensus(items, "votes", panel).collect()[0].consensus is None
+
+
+def test_a_long_panel_is_fitted_alike(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        truth = rng.random() < 0.5
+        rows.append((i, [vote(f"v{m}", truth == (rng.random() < 0.6 + 0.05 * m)) for m in range(6) if rng.random() < 0.8]))
+    items = spark.createDataFrame(rows, f"id int, v {VOTE}").select("id", c.answers(F.col("v")).alias("votes"))
+    short, long = c.fit_voters(items, "votes", max_rounds=6), c.fit_voters(items, "votes", max_rounds=6, short_panel=2)
+    a, b = ({r.voter: (round(r.knows, 6), round(r.opposes, 6), round(r.support_yes, 6)) for r in p.rates(spark).collect()} for p in (short, long))
+    assert long.table is not None and a == b
+    x, y = ({r.id: (r.consensus, r.agreement, r.probability and round(r.probability, 6)) for r in c.consensus(items, "votes", p).collect()} for p in (short, long))
+    assert x == y and len(x) == 300
