@@ -10,7 +10,7 @@ from ..tables import latest, table
 from . import consensus as votes
 from .handwritten import not_handwritten
 from .leaks import leaks
-from .lookalike_pairs import look_classes, same_look_pairs
+from .lookalike_pairs import look_classes, same_look_members, same_look_pairs
 from .lookalikes import canonical_column
 from .packing import pack, room_left
 from .topn import parted, top_n
@@ -115,7 +115,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_items(spark: SparkSession, folder: str) -> DataFrame:
-    found = _leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.max("share"), 6).alias("largest_share"))
+    found = _leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.max("share"), 6).alias("largest_share"), F.round(F.max("window_share"), 6).alias("largest_window"))
     return table(spark, folder, "eval_items").select("item_id", "suite").join(found, "item_id", "left").fillna(0, ["n_docs"])
 
 
@@ -126,12 +126,16 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_look_pairs(look_classes(table(spark, folder, "documents")))
 
 
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return same_look_members(look_classes(table(spark, folder, "documents")))
+
+
 def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select("doc_id", canonical_column(F.col("text")).alias("form"), F.col("text"))
     return rows.select("doc_id", F.md5("form.text").alias("form_md5"), F.length("form.text").cast("bigint").alias("n_chars"), "form.mixed", "form.whole", (F.col("form.text") != F.col("text")).alias("changed"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_voters": p5_voters, "p6_containers": p6_containers, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_voters": p5_voters, "p6_containers": p6_containers, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_classes": p8_classes, "p8_forms": p8_forms}
 
 SQL = {
     "p2_found": """

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from skeinflow.llm import near_copies, packing
 from skeinflow.llm.components import components
 from skeinflow.llm.leaks import Index, leaks, words_of
-from skeinflow.llm.lookalike_pairs import look_classes, same_look_pairs
+from skeinflow.llm.lookalike_pairs import look_classes, same_look_members, same_look_pairs
 from skeinflow.llm.lookalikes import canonical, look_key
 
 
@@ -54,7 +54,12 @@ def test_pairs_against_brute_force(spark):
     got = {(r.doc_a, r.doc_b) for r in same_look_pairs(look_classes(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
     want = {(i, j) for i, a in docs for j, b in docs if i < j and a and b and a != b and form(a) == form(b)}
     assert got == want and want
-    assert same_look_pairs(look_classes(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+    frame = look_classes(spark.createDataFrame(docs + docs[:9], "doc_id long, text string"))
+    assert {(r.doc_a, r.doc_b) for r in same_look_pairs(frame, per_part=3).collect()} == want
+    links = {r.doc_id: r.n_links for r in same_look_members(look_classes(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    assert links == {i: sum(i in pair for pair in want) for i, t in docs if t}
+    none = look_classes(spark.createDataFrame([], "doc_id long, text string"))
+    assert same_look_pairs(none).count() == 0 and same_look_members(none).count() == 0
 
 
 WORDS = "amber bold brisk calm cobalt dapper dusty eager early faint frosty gentle grand hazel humble inner ivory jolly junior keen lucid lunar mellow minor nimble noble opal outer plain proud quiet rapid rustic silver stern tidy umber vivid witty young zesty".split()
