@@ -1,15 +1,16 @@
 """Files that nobody of the repository wrote by hand, by a linear support-vector classifier.
 
 The classifier sees a file through four sets of hashed features: character n-grams of its whole text, character n-grams of
-its notices (comments at its head and its end), path components with the language, and its shape (line lengths, shares of
-blanks, digits and literals). Giveaways, the notices and shapes that give a file away for sure, label the training rows
-and are features too; each labelled row is shown as it is, once with its giveaways masked in text and features, so that the
-weights of everything else are learned from rows in which the giveaways cannot help, and once with each giveaway alone. Whole repositories are held
-out: the threshold is chosen on repositories that training never saw, on their files as they are and with giveaways masked,
-for a file whose notice is worded otherwise than the lists know scores as a masked one does.
-
-The sample for training is bounded by ``max_rows``, taken by a hash of the file; scoring covers every file with weights of
-a fixed size. Training runs in one task on that bounded sample.
+its notices (comments at its head and its end, the repository's own name masked), path components with the language, and its
+shape (size, line lengths, shares of blanks, digits and code words). No list and no rule has a say when a file is scored.
+
+Giveaways, the notices, names and shapes by which people recognise such files, label the rows of the training sample and do
+nothing else. Each labelled row is shown as it is, and once more with its giveaway notices masked, so the body, the path and
+the shape have to carry what they can. Whole repositories are held out: the threshold is chosen on repositories that training
+never saw.
+
+The sample for training is bounded by ``max_rows``, taken by a hash of the file, chosen by ids before any content is read;
+scoring covers every file with weights of a fixed size. Training runs in one task on that bounded sample.
 """
 
 from __future__ import annotations
@@ -27,24 +28,31 @@ from .validity import language_of
 
 #: Bits of the hashed feature space.
 BITS = 18
-#: The value of a giveaway feature; each of the other sets of features has length one.
-GIVEAWAY = 4.0
+#: The most files that a classifier is trained on.
+MAX_ROWS = 6000
+#: The value of an n-gram of a notice, and of a component of the path.
+NOTICE, COMPONENT = 0.2, 0.9
 # Programming languages in which a file of mere data is no source.
 PROGRAMMING = frozenset("python javascript typescript go java rust kotlin scala ruby php csharp swift c cpp shell".split())
 # Names of lock files.
 LOCK_FILES = frozenset("package-lock.json yarn.lock pnpm-lock.yaml poetry.lock pipfile.lock cargo.lock go.sum composer.lock gemfile.lock uv.lock npm-shrinkwrap.json".split())
 # Directories that hold other people's code.
 VENDOR_DIRS = frozenset("vendor _vendor third_party third-party thirdparty extern external node_modules bower_components".split())
-# How notices say that a program wrote the file, and how people speak of programs that write others.
+# How a notice says that a program made the file: made by a machine or automatically, made by or from something, the product
+# of something, not to be edited, or edits will be lost; and the same in German, French and Spanish.
+_MADE = r"(?:generated|created|produced|written|made|built|compiled)"
 MACHINE = re.compile(
-    r"""code\ generated\ by|^\W*(?:auto-?\s?)?generated\ (?:by|from|with|on)\b|@generated\b|<auto-?generated|\bauto-?generated\ (?:by|from|file|code)
-    |machine-?\ ?(?:made|written|generated)|automatically\ (?:created|generated|produced|written)|(?:created|generated|produced|written)\ automatically
-    |product\ of\ \w+|\berzeugt\b.*nicht\ von\ hand|built\ from\ the\ \S+\ template|built\ by\ tool
-    |(?:edits?|changes|modifications)\b.{0,40}\b(?:lost|overwritten|discarded)|do\ not\ (?:edit|modify|change|touch)(?:\ (?:this|the)\ file)?\W*$""",
-    re.X | re.I | re.M,
+    rf"""@generated\b|<auto-?generated|\bcode\ generated\ by\b
+    |\b(?:auto|machine)-?\ ?{_MADE}\b|\bautomatically\ {_MADE}\b|\b{_MADE}\ automatically\b
+    |^\W*{_MADE}\ (?:by|from|with|on|using)\b|\bis\ the\ (?:product|output)\ of\b
+    |\b(?:edit|change|modification)s?\b.{{0,40}}\b(?:lost|overwritten|discarded|erased)
+    |\b(?:do\ not|don't|never)\ (?:edit|modify|change|touch)(?:\ (?:this|the)\ (?:file|code|module))?\W*$
+    |\b(?:erzeugt|generiert|erstellt)\b.*\bnicht\b.*\b(?:bearbeiten|ändern)\b|\bgénéré\b.*\bne\ pas\ (?:modifier|éditer)\b|\bgenerado\b.*\bno\ (?:editar|modificar)\b""",
+    re.X | re.I,
 )
 STATED = re.compile(r"^\W*code generated by\b.*\bdo not edit\b|^\W*@generated\b|<auto-?generated\b|^\W*this (?:whole )?file (?:is|was|has been) (?:auto-?|automatically |machine-?)?generated\b", re.I)
-PEOPLE = re.compile(r"\bTODO\b|\bFIXME\b|one day|still write|by hand\b(?!.*(?:lost|bearbeiten))|at start-?up|\breads what\b", re.I)
+# What is planned or wished for is not so yet.
+PLANNED = re.compile(r"\b(?:TODO|FIXME|XXX|should|would|could|might)\b", re.I)
 HOLDER = re.compile(r"copyright\s+(?:\(c\)\s*|©\s*)?(?:\d{4}(?:\s*-\s*\d{4})?,?\s+)?(?:by\s+)?(?:the\s+)?(?P<who>[\w.\-]+)\s+(?P<as>authors|contributors|developers|project|maintainers|team)\b", re.I)
 BANNER = re.compile(r"/\*!\s*(?P<who>[\w.\-]+)\s+v?\d[\w.]*\s*\|")
 UPSTREAM = re.compile(r"^\W*upstream:\s*\S+://", re.I | re.M)
@@ -138,12 +146,12 @@ def squeezed(lang: str, text: str) -> bool:
 
 
 def giveaways(repo: str, path: str, lang: str, text: str) -> set[str]:
-    """What gives a file away for sure: its notice, its holder, its name, or what it holds."""
+    """What people recognise the file by: its notice, its holder, its name, or what it holds. Labels of training rows."""
     out = set()
     parts = path.lower().split("/")
     notes = notices(text)
     for line in notes.split("\n"):
-        if MACHINE.search(line) and not PEOPLE.search(line):
+        if MACHINE.search(line) and not PLANNED.search(line):
             out.add("machine")
     for m in [*HOLDER.finditer(notes), *BANNER.finditer(text)]:
         if m.group("who").lower() not in (repo or "").lower():
@@ -184,25 +192,39 @@ def _grams(data: bytes, n: int, salt: int) -> np.ndarray:
     return np.unique((total >> np.uint64(64 - BITS)).astype(np.int64))
 
 
+def _word_grams(text: str, n: int = 5) -> np.ndarray:
+    """Slots of the n-grams within words, blanks around them included, each once; none reaches from word to word."""
+    words = {f" {w} " for w in text.split()}
+    return np.unique([_slot(f"gram:{w[k : k + n]}") for w in words for k in range(max(1, len(w) - n + 1))])
+
+
 def _bucket(x: float) -> int:
     return int(np.log2(1 + max(0.0, x)) * 2)
 
 
-def features(repo: str, path: str, lang: str, text: str, evidence: set[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, values): each of the four sets has length one."""
+def _without_own(text: str, repo: str) -> str:
+    """Lower-case text whose numbers are zeros and in which the repository's own name is masked."""
+    text = re.sub(r"\d+", "0", text).lower()
+    name = re.sub(r"\d+", "0", repo).lower()
+    return text.replace(name, "(own)") if name else text
+
+
+def features(repo: str, path: str, lang: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, values): the n-grams of the text have length one together, as have those of its shape; an n-gram of a notice
+    and a component of the path weigh the same however many there are, so a short notice is not lost in long comments."""
     slots, values = [], []
 
-    def add(some, weight: float = 1.0) -> None:
+    def add(some, weight: float | None = None) -> None:
         if len(some):
             slots.append(np.asarray(some, dtype=np.int64))
-            values.append(np.full(len(some), weight / np.sqrt(len(some)), dtype=np.float32))
+            values.append(np.full(len(some), weight or 1 / np.sqrt(len(some)), dtype=np.float32))
 
     data = text.encode("utf-8", "replace")
     add(np.concatenate([_grams(data, 4, 1), _grams(data, 6, 2)]))
-    add(_grams(re.sub(r"\d+", "0", notices(text)).lower().encode("utf-8", "replace"), 5, 3))
+    add(_word_grams(_without_own(notices(text), repo)), NOTICE)
     parts = [p for p in re.split(r"/", path.lower()) if p]
     names = {f"dir:{p}" for p in parts[:-1]} | {f"name:{w}" for w in re.split(r"[^a-z]+", parts[-1] if parts else "") if w} | {f"pair:{a}/{b}" for a, b in zip(["", *parts[:-1]], parts[:-1])}
-    add([_slot(x) for x in sorted(names | {f"lang:{lang}"})])
+    add([_slot(x) for x in sorted(names | {f"lang:{lang}"})], COMPONENT)
     lines = text.split("\n")
     size = max(1, len(text))
     shape = {
@@ -214,60 +236,48 @@ def features(repo: str, path: str, lang: str, text: str, evidence: set[str]) ->
         f"size:{_bucket(size)}",
     }
     add([_slot(x) for x in sorted(shape)])
-    if evidence:
-        slots.append(np.array([_slot(f"giveaway:{x}") for x in sorted(evidence)], dtype=np.int64))
-        values.append(np.full(len(evidence), GIVEAWAY, dtype=np.float32))
     return np.concatenate(slots), np.concatenate(values)
 
 
-def train(rows: list[tuple[str, str, str, str]], passes: int = 12, c: float = 0.3, doubt: float = -0.7, margin: float = 0.1, held: int = 5, seed: int = 7) -> tuple[np.ndarray, float, dict]:
+def train(rows: list[tuple[str, str, str, str]], passes: int = 12, c: float = 1.0, c_masked: float = 0.3, held: int = 5, seed: int = 7) -> tuple[np.ndarray, float, dict]:
     """(weights, threshold, report) of a linear support-vector machine by dual coordinate descent on (repo, path, lang, text).
 
-    One repository of ``held`` is held out by its hash. The report has the held-out precision and recall with giveaways
-    visible and masked. Without rows of both kinds the weights are those of the giveaways alone.
+    One repository of ``held`` is held out by its hash; the threshold and the report come from weights that never saw it, the
+    returned weights are then learned from all rows. An error on a row as it is costs ``c``, on a masked one ``c_masked``.
+    The report has the held-out precision and recall of files as they are and with their giveaway notices masked. Rows of one
+    kind only give a classifier that finds nothing.
     """
     xs, ys, out = [], [], []
     for repo, path, lang, text in rows:
         found = giveaways(repo, path, lang, text)
         held_out = xxhash.xxh64_intdigest(repo or "") % held == 0
-        xs.append(features(repo, path, lang, text, found))
+        xs.append(features(repo, path, lang, text))
         ys.append(1.0 if found else -1.0)
         out.append("seen" if held_out else "train")
-        if found:
-            bare = masked(text)
-            xs.append(features(repo, path, lang, bare, set()))
+        bare = masked(text)
+        if found and bare != text:
+            xs.append(features(repo, path, lang, bare))
             ys.append(1.0)
-            out.append("masked" if held_out else "train")
-            if not held_out:  # each giveaway must be enough where the others are missing
-                for kind in sorted(found):
-                    xs.append(features(repo, path, lang, bare, {kind}))
-                    ys.append(1.0)
-                    out.append("train")
-    ids = [i for i, o in enumerate(out) if o == "train"]
-    weights, bias = _descend(xs, ys, ids, passes, c, seed)
-    # A row without giveaways that looks like none of the others may be one that lost them: it teaches nothing.
-    doubtful = {i for i in ids if ys[i] < 0 and float(weights[xs[i][0]] @ xs[i][1]) + bias > doubt}
-    if doubtful:
-        weights, bias = _descend(xs, ys, [i for i in ids if i not in doubtful], passes, c, seed)
+            out.append("masked" if held_out else "train masked")
+    costs = {i: c if o == "train" else c_masked for i, o in enumerate(out) if o.startswith("train")}
+    if len({ys[i] for i in costs}) < 2:
+        return np.zeros((1 << BITS) + 1, dtype=np.float32), 1.0, {"rows": len(rows)}
+    weights, bias = _descend(xs, ys, costs, passes, seed)
     scores = np.array([float(weights[s] @ v) + bias for s, v in xs])
     kinds, y = np.array(out), np.array(ys)
     seen, hidden = kinds == "seen", (kinds == "masked") | ((kinds == "seen") & (y < 0))
-    # Many more files are scored than held out, so hand-written ones must stay below by a margin.
-    both = seen | hidden
-    threshold = _threshold(scores[both] + margin * (y[both] < 0), y[both])
+    threshold = _threshold(scores[seen], y[seen])
     report = {"rows": len(rows), "seen": _quality(scores[seen], y[seen], threshold), "masked": _quality(scores[hidden], y[hidden], threshold)}
+    everything = {i: c_masked if o.endswith("masked") else c for i, o in enumerate(out)}
+    weights, bias = _descend(xs, ys, everything, passes, seed)
     return np.append(weights, bias).astype(np.float32), threshold, report
 
 
-def _descend(xs: list, ys: list[float], ids: list[int], passes: int, c: float, seed: int) -> tuple[np.ndarray, float]:
+def _descend(xs: list, ys: list[float], costs: dict[int, float], passes: int, seed: int) -> tuple[np.ndarray, float]:
     weights = np.zeros(1 << BITS, dtype=np.float64)
-    if len({ys[i] for i in ids}) < 2:
-        for kind in ("machine", "holder", "lock", "vendored", "squeezed", "data"):
-            weights[_slot(f"giveaway:{kind}")] = 2.0
-        return weights, -1.0
     bias = 0.0
     rng = np.random.default_rng(seed)
-    ids = list(ids)
+    ids = list(costs)
     alpha = np.zeros(len(xs))
     norms = {i: float((xs[i][1] * xs[i][1]).sum()) + 1.0 for i in ids}
     for _ in range(passes):
@@ -275,7 +285,7 @@ def _descend(xs: list, ys: list[float], ids: list[int], passes: int, c: float, s
         for i in ids:
             s, v = xs[i]
             gradient = ys[i] * (float(weights[s] @ v) + bias) - 1.0
-            new = min(max(alpha[i] - gradient / norms[i], 0.0), c)
+            new = min(max(alpha[i] - gradient / norms[i], 0.0), costs[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * ys[i]
                 np.add.at(weights, s, step * v)
@@ -314,10 +324,13 @@ def _train_task(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"weights": [weights.tobytes()], "threshold": [threshold], "report": [str(report)]})
 
 
-def fit(files: DataFrame, max_rows: int = 3000) -> tuple[np.ndarray, float, str]:
-    """Weights, threshold and report from at most ``max_rows`` files, those with the smallest hashes of their ids."""
-    rows = _rows(files)
-    sample = rows.withColumn("_h", F.xxhash64("file_id")).orderBy("_h", "file_id").limit(max_rows).drop("_h")
+def fit(files: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float, str]:
+    """Weights, threshold and report from at most ``max_rows`` files, those with the smallest hashes of their ids.
+
+    The ids are chosen from the id column alone; content is then read of the chosen files and shuffled of no others.
+    """
+    chosen = files.select("file_id", F.xxhash64("file_id").alias("_h")).distinct().orderBy("_h", "file_id").limit(max_rows).select("file_id")
+    sample = _rows(files).join(F.broadcast(chosen), "file_id", "left_semi").dropDuplicates(["file_id"])
     found = sample.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: _train_task(pdf), "weights binary, threshold double, report string").collect()
     if not found:
         weights, threshold, report = train([])
@@ -330,29 +343,30 @@ def _rows(files: DataFrame) -> DataFrame:
     return files.select(*columns).filter("content is not null")
 
 
-def not_handwritten(files: DataFrame, model: tuple[np.ndarray, float, str] | None = None, max_rows: int = 3000) -> DataFrame:
-    """(file_id, score, kinds, other) of every file with content, one row per file.
+def not_handwritten(files: DataFrame, model: tuple[np.ndarray, float, str] | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(file_id, score, other) of every file with content, one row per file.
 
-    ``other`` is true where the classifier finds that nobody of the repository wrote the file by hand; ``kinds`` are the
-    giveaways it saw. Empty files are hand-written as far as anyone can tell; files without content give no row; null
-    repositories, paths and languages are empty ones. Rows of one file are delivered again unchanged; any is taken.
+    ``other`` is true where the classifier finds that nobody of the repository wrote the file by hand. Empty files are
+    hand-written as far as anyone can tell, with a null score; files without content give no row; null repositories, paths and
+    languages are empty ones. Rows of one file are delivered again unchanged; any is taken.
     """
     weights, threshold, _ = model or fit(files, max_rows)
+    known = files.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = known.value
         for pdf in batches:
             rows = []
             for file, repo, path, lang, content in zip(pdf["file_id"], pdf["repo"], pdf["path"], pdf["lang"], pdf["content"]):
                 text = decode(bytes(content))
                 if not text.strip():
-                    rows.append((file, None, [], False))
+                    rows.append((file, None, False))
                     continue
-                kinds = giveaways(repo or "", path or "", lang or "", text)
-                slots, values = features(repo or "", path or "", lang or "", text, kinds)
+                slots, values = features(repo or "", path or "", lang or "", text)
                 s = float(weights[slots] @ values) + float(weights[-1])
-                rows.append((file, s, sorted(kinds), s > threshold))
-            yield pd.DataFrame(rows, columns=["file_id", "score", "kinds", "other"])
+                rows.append((file, s, s > threshold))
+            yield pd.DataFrame(rows, columns=["file_id", "score", "other"])
 
     id_type = files.schema["file_id"].dataType.simpleString()
-    scored = _rows(files).mapInPandas(score, f"file_id {id_type}, score double, kinds array<string>, other boolean")
-    return scored.groupBy("file_id").agg(F.max("score").alias("score"), F.max("kinds").alias("kinds"), F.max("other").alias("other"))
+    scored = _rows(files).mapInPandas(score, f"file_id {id_type}, score double, other boolean")
+    return scored.groupBy("file_id").agg(F.max("score").alias("score"), F.max("other").alias("other"))

@@ -55,7 +55,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
     scored = not_handwritten(table(spark, folder, "file_entries"))
-    return scored.select("file_id", F.round("score", 4).alias("score"), F.array_join("kinds", ",").alias("kinds"), "other")
+    return scored.select("file_id", F.round("score", 4).alias("score"), "other")
 
 
 # --- 5: consensus of voters -------------------------------------------------------------------------------------------
