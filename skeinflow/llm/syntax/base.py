@@ -5,6 +5,20 @@ from __future__ import annotations
 import re
 
 
+class TooDeep(Exception):
+    """The text nests deeper than ``depth.limit``."""
+
+
+class _Depth:
+    """How deep rules may nest before a grammar gives up; what gives up is read again with room for ``DEEPEST`` levels."""
+
+    limit = 120
+
+
+DEEPEST = 50_000
+depth = _Depth()
+
+
 class Bad(Exception):
     """The text is not valid; the place is a character offset."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import Bad, Stream
+from .base import Bad, Stream, TooDeep, depth
 
 KEYWORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
 _TOKEN = re.compile(
@@ -391,8 +391,8 @@ class Go(Stream):
 
     def unary(self) -> None:
         self.depth += 1
-        if self.depth > 150:
-            self.fail("too deep")
+        if self.depth > depth.limit:
+            raise TooDeep
         while self.kind == "op" and self.text in ("+", "-", "!", "^", "*", "&", "<-", "~"):
             self.next()
         self.primary()

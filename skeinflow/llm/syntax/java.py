@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import Stream, tokenize
+from .base import Stream, TooDeep, depth, tokenize
 
 KEYWORDS = frozenset(
     """abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if
@@ -494,8 +494,8 @@ class Java(Stream):
 
     def expression(self, arrows: bool = True) -> None:
         self.depth += 1
-        if self.depth > 150:
-            self.fail("too deep")
+        if self.depth > depth.limit:
+            raise TooDeep
         if arrows and (self.text == "(" and self.kind == "op" or self.kind == "id" and self.ahead()[1] == "->") and self.attempt(self.lambda_start):
             if self.text == "{":
                 self.block()

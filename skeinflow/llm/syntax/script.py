@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from .base import Bad
+from .base import Bad, TooDeep, depth
 
 RESERVED = frozenset(
     """break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new
@@ -136,8 +136,8 @@ class Script:
 
     def statement(self, top: bool = False) -> None:
         self.depth += 1
-        if self.depth > 120:
-            self.fail("too deep")
+        if self.depth > depth.limit:
+            raise TooDeep
         self._statement(top)
         self.depth -= 1
 
@@ -618,8 +618,8 @@ class Script:
 
     def assignment(self) -> None:
         self.depth += 1
-        if self.depth > 120:
-            self.fail("too deep")
+        if self.depth > depth.limit:
+            raise TooDeep
         if self.may_be_arrow() and self.attempt(self.arrow_head):
             if self.op("{"):
                 old, self.in_allowed = self.in_allowed, True
@@ -680,8 +680,8 @@ class Script:
         if self.kind == "op" and self.text in ("!", "~", "+", "-", "++", "--") or self.kind == "id" and self.text in ("typeof", "void", "delete"):
             self.next()
             self.depth += 1
-            if self.depth > 120:
-                self.fail("too deep")
+            if self.depth > depth.limit:
+                raise TooDeep
             self.unary()
             self.depth -= 1
             return False
@@ -898,8 +898,8 @@ class Script:
     def element(self, at: int) -> int:
         """Past a markup element that begins at the place; expressions in braces are read as such."""
         self.depth += 1
-        if self.depth > 120:
-            raise Bad(at, "too deep")
+        if self.depth > depth.limit:
+            raise TooDeep
         source = self.source
         m = re.compile(r"<\s*([A-Za-z_$][\w$.:-]*)?\s*").match(source, at)
         if not m:
@@ -1137,8 +1137,8 @@ class Script:
 
     def type(self) -> None:
         self.depth += 1
-        if self.depth > 120:
-            self.fail("too deep")
+        if self.depth > depth.limit:
+            raise TooDeep
         if (self.op("(") or self.op("<") or self.word("new") or self.word("abstract")) and self.attempt(self.function_type):
             pass
         else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import Bad
+from .base import Bad, TooDeep, depth
 
 _RESERVED = frozenset("if then elif else fi for while until do done case esac select function time { } ! [[ in coproc".split())
 _ENDS = frozenset("then elif else fi do done esac }".split())
@@ -195,8 +195,8 @@ class Shell:
     def command_in(self) -> None:
         """Commands up to the closing parenthesis; the opening one is read."""
         self.depth += 1
-        if self.depth > 100:
-            raise Bad(self.at, "too deep")
+        if self.depth > depth.limit:
+            raise TooDeep
         saved = (self.kind, self.text, self.plain, self.start, self.waiting)
         self.waiting = []
         self.next()
@@ -345,8 +345,8 @@ class Shell:
 
     def command(self) -> None:
         self.depth += 1
-        if self.depth > 100:
-            self.fail("too deep")
+        if self.depth > depth.limit:
+            raise TooDeep
         self._command()
         self.depth -= 1
 

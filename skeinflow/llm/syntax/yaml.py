@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import Bad
+from .base import Bad, TooDeep, depth
 
 _DOUBLE = re.compile(r'"(?:[^"\\]|\\(?:[0abt\tnvfre "/\\N_LP\n\r]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))*"')
 _SINGLE = re.compile(r"'(?:[^']|'')*'")
@@ -291,8 +291,8 @@ class _Flow:
 
     def collection(self, at: int) -> int:
         self.depth += 1
-        if self.depth > 200:
-            raise Bad(at, "too deep")
+        if self.depth > depth.limit:
+            raise TooDeep
         text = self.text
         close = "]" if text[at] == "[" else "}"
         at = self.space(at + 1)

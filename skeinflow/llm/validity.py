@@ -1,24 +1,28 @@
 """Source files that do not parse.
 
-Files are read where they are. A file of a language whose lexer needs no more than its state is cut into chunks; chunks
-become lexer-state maps with bracket summaries, which are reduced associatively, for files of several chunks across
-partitions. Balanced files are then parsed by the language's grammar. Files of the other languages are parsed at once.
+Files are read where they are. A file of a language with a lexer of finitely many states is cut into chunks; chunks become
+lexer-state maps with bracket summaries, which are reduced associatively, for files of several chunks across partitions.
+Files that are balanced, as far as the maps can tell, are then parsed by the language's grammar. YAML and shell files, whose
+lexers have no finite set of states, are one chunk and are parsed at once.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .syntax import BY_EXTENSION, JUDGED, fault, lexmap
 
-#: Characters of a chunk.
-CHUNK = 262_144
+#: Characters of a chunk, and chunks that one step of the reduction combines.
+CHUNK = 8192
+FAN_IN = 64
 
 
 def language_of(language: Column, path: Column) -> Column:
@@ -36,21 +40,17 @@ def _cut(size: int):
         for pdf in batches:
             rows = []
             for file, path, lang, content in zip(pdf["file_id"], pdf["path"], pdf["lang"], pdf["content"]):
-                parts = []
-                if lang in lexmap._OPENINGS:
+                content, parts = bytes(content), []
+                if lang in lexmap.LANGUAGES:
                     try:
-                        text = bytes(content).decode("utf-8-sig")
+                        parts = lexmap.chunks(content.decode("utf-8-sig").replace("\r\n", "\n"), size)
                     except UnicodeDecodeError:
-                        rows.append((file, path, lang, 0, 1, True, None))
-                        continue
-                    parts = lexmap.chunks(text, size)
-                    if len(parts) == 1 and not lexmap.balanced([lexmap.summary(lang, text, True)]):
-                        rows.append((file, path, lang, 0, 1, True, None))
-                        continue
+                        parts = []  # the grammar says what that means for the language
                 if len(parts) > 1:
                     rows += [(file, path, lang, k, len(parts), None, part) for k, part in enumerate(parts)]
-                else:
-                    rows.append((file, path, lang, 0, 1, fault(lang, bytes(content), path or "") is not None, None))
+                    continue
+                unbalanced = bool(parts) and not lexmap.balanced([lexmap.summary(lang, parts[0], True)])
+                rows.append((file, path, lang, 0, 1, unbalanced or fault(lang, content, path or "") is not None, None))
             yield pd.DataFrame(rows, columns=["file_id", "path", "lang", "no", "n", "bad", "chunk"])
 
     return run
@@ -59,14 +59,19 @@ def _cut(size: int):
 def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         pdf["map"] = [json.dumps(lexmap.summary(lang, chunk, no == 0)) for lang, chunk, no in zip(pdf["lang"], pdf["chunk"], pdf["no"])]
-        yield pdf[["file_id", "path", "lang", "no", "chunk", "map"]]
+        yield pdf[["file_id", "no", "map"]]
 
 
-def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Neighbouring maps of one file as one, numbered for the next step."""
     pdf = pdf.drop_duplicates("no").sort_values("no")
-    lang, path = pdf["lang"].iloc[0], pdf["path"].iloc[0] or ""
-    ok = lexmap.balanced([json.loads(m) for m in pdf["map"]]) and fault(lang, "".join(pdf["chunk"]).encode(), path) is None
-    return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "bad": [not ok]})
+    return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "no": [int(pdf["no"].iloc[0]) // FAN_IN], "map": [json.dumps(reduce(lexmap.combine, map(json.loads, pdf["map"])))]})
+
+
+def _parse(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.drop_duplicates("no").sort_values("no")
+    bad = fault(pdf["lang"].iloc[0], "".join(pdf["chunk"]).encode(), pdf["path"].iloc[0] or "") is not None
+    return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "bad": [bad]})
 
 
 def broken_files(files: DataFrame, file: str = "file_id", path: str = "path", language: str = "language", content: str = "content", chunk: int = CHUNK) -> DataFrame:
@@ -74,15 +79,29 @@ def broken_files(files: DataFrame, file: str = "file_id", path: str = "path", la
 
     Files without content, and of languages that are not judged, give no row. Rows of one file are delivered again
     unchanged; any of them is taken. An empty file is judged as its language has it (empty JSON or Go is not valid).
-    A file's chunks meet in one task again for its grammar, as the files of a manifest are at most ten megabytes.
+    Chunks of a large file are read wherever they lie, and their maps are combined ``FAN_IN`` at a time, step by step; the
+    chunks of a file that is balanced, or that only the grammar can tell, meet in one task for it, as the files of a manifest
+    are at most ten megabytes.
     """
     rows = files.select(F.col(file).alias("file_id"), F.col(path).cast("string").alias("path"), language_of(F.col(language), F.col(path)).alias("lang"), F.col(content).alias("content")).filter(F.col("lang").isin(*JUDGED) & F.col("content").isNotNull())
     id_type = files.schema[file].dataType.simpleString()
     cut = cut_lineage(rows.mapInPandas(_cut(chunk), f"file_id {id_type}, path string, lang string, no int, n int, bad boolean, chunk string"))
     single = cut.filter("n = 1").select("file_id", "bad")
-    maps = cut.filter("n > 1").repartition("file_id", "no").mapInPandas(_summarise, f"file_id {id_type}, path string, lang string, no int, chunk string, map string")
-    large = maps.groupBy("file_id").applyInPandas(_reduce, f"file_id {id_type}, bad boolean")
-    return single.unionByName(large).groupBy("file_id").agg(F.max("bad").alias("bad"))
+    chunked = cut.filter("n > 1").repartition("file_id", "no")
+    most = cut.agg(F.max("n")).first()[0] or 1
+    maps = chunked.select("file_id", "lang", "no", "chunk").mapInPandas(_summarise, f"file_id {id_type}, no int, map string")
+    while most > 1:
+        maps = maps.groupBy("file_id", F.floor(F.col("no") / FAN_IN).alias("_step")).applyInPandas(_combine, f"file_id {id_type}, no int, map string")
+        most = -(-most // FAN_IN)
+    whole = maps.select("file_id", _balanced("map").alias("balanced"))
+    parsed = chunked.join(whole.filter("balanced"), "file_id", "left_semi").groupBy("file_id").applyInPandas(_parse, f"file_id {id_type}, bad boolean")
+    unbalanced = whole.filter("not balanced").select("file_id", F.lit(True).alias("bad"))
+    return single.unionByName(parsed).unionByName(unbalanced).groupBy("file_id").agg(F.max("bad").alias("bad"))
+
+
+@F.pandas_udf(T.BooleanType())
+def _balanced(maps: pd.Series) -> pd.Series:
+    return maps.map(lambda m: lexmap.balanced([json.loads(m)]))
 
 
 def broken(files: DataFrame, skipped: DataFrame, file: str = "file_id") -> DataFrame:

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from skeinflow.llm.syntax import fault, lexmap
+from skeinflow.llm.syntax import deep, fault, lexmap
+from skeinflow.llm.syntax.base import Bad
 from skeinflow.llm.validity import broken, broken_rates
 
 GOOD = {
@@ -44,19 +45,70 @@ def test_broken(language):
         assert fault(language, text.encode(), "x.js"), text
 
 
-def test_chunk_maps_agree_however_they_are_grouped():
+LEXED = {
+    "java": GOOD["java"][1], "go": GOOD["go"][1] * 3, "json": '{"a": ["x{", {"b": "c\\"]"}]}\n', "toml": 'a = ["x]", \'y[\'] # [\n[t]\nb = """\n[ "q" \n"""\nc = \'\'\'\n{\'\'\'\n' * 3,
+    "python": "x = (\n 'a)', \"b\\\"]\", # c(\n)\ny = \'\'\'\n((\n\'\'\'\nz = f'{x[0]}' + r'\\\\'\n" * 3,
+    "typescript": "const a = `x ${b({c: `${d}`})}\n y`; // (\nif (a) /[(]/.test(a / b); /* {\n */ const s = 'it\\'s (';\n" * 3,
+}
+
+
+@pytest.mark.parametrize("language", sorted(LEXED))
+def test_chunk_maps_agree_however_they_are_grouped(language):
     rng = random.Random(2)
-    for language, text in (("java", GOOD["java"][1]), ("go", GOOD["go"][1]), ("json", '{"a": ["x{", {"b": "c\\"]"}]}\n' * 1)):
-        text = text * 3 if language == "go" else text
-        for body in (text, text[: len(text) // 2], text + "}"):
-            whole = lexmap.balanced([lexmap.summary(language, body, True)])
-            for size in (5, 30, 100):
-                maps = [lexmap.summary(language, x, i == 0) for i, x in enumerate(lexmap.chunks(body, size))]
-                assert lexmap.balanced(maps) == whole
-                while len(maps) > 1:
-                    i = rng.randrange(len(maps) - 1)
-                    maps[i : i + 2] = [lexmap.combine(maps[i], maps[i + 1])]
-                assert lexmap.balanced(maps) == whole
+    text = LEXED[language]
+    assert lexmap.balanced([lexmap.summary(language, text, True)]) and lexmap.summary(language, text, True)["code"][0] in ("code", "line")
+    for body in (text, text[: len(text) // 2 + 3], text + "}", "(" + text):
+        whole = lexmap.balanced([lexmap.summary(language, body, True)])
+        assert whole == (body == text) or len(body) < len(text)
+        for size in (5, 30, 100):
+            maps = [lexmap.summary(language, x, i == 0) for i, x in enumerate(lexmap.chunks(body, size))]
+            one = lexmap.balanced(maps)
+            assert one or not whole  # chunks of a script may leave more to the grammar
+            while len(maps) > 1:
+                i = rng.randrange(len(maps) - 1)
+                maps[i : i + 2] = [lexmap.combine(maps[i], maps[i + 1])]
+            assert lexmap.balanced(maps) == one
+
+
+def test_what_only_the_grammar_can_tell_is_left_to_it():
+    for language, text in (("javascript", "x = <p>don't (</p>\n"), ("python", "x = f'{d['a']}{'\n"), ("typescript", "let x = {} / 2 / '('.length\n"), ("typescript", "y\n/ 2 / ('\n")):
+        assert lexmap.balanced([lexmap.summary(language, text, True)])
+    assert fault("javascript", b"x = <p>don't (</p>\n", "a.jsx") is None
+    for language, text in (("python", "x = 'a\n"), ("python", "x = (]\n"), ("typescript", "f(`${a)}`)\n"), ("toml", "a = 'x\n"), ("typescript", "a = /[)]/ + (\n")):
+        assert not lexmap.balanced([lexmap.summary(language, text, True)])
+
+
+@pytest.mark.parametrize("levels", [119, 400, 2500])
+def test_depth_decides_nothing(levels):
+    texts = {
+        "javascript": ("x = " + "(" * levels + "1", ")" * levels), "typescript": ("let x = " + "[" * levels, "]" * levels), "go": ("package p\nvar x = " + "(" * levels + "1", ")" * levels + "\n"),
+        "java": ("class A { int x = " + "(" * levels + "1", ")" * levels + "; }"), "shell": ("x=" + "$(" * levels + "ls", ")" * levels + "\n"), "yaml": ("a: " + "[" * levels, "]" * levels + "\n"),
+        "json": ("[" * levels, "]" * levels), "toml": ("a = " + "[" * levels, "]" * levels + "\n"),
+    }
+    for language, (opening, closing) in texts.items():
+        assert fault(language, (opening + closing).encode()) is None, language
+        assert fault(language, (opening + closing.replace(closing[0], "", 1)).encode()), language
+    assert fault("javascript", ("{" * levels + "}" * levels).encode()) is None and fault("javascript", ("{" * levels + "a b" + "}" * levels).encode())
+
+
+def test_long_chains_of_python():
+    n = 30_000
+    for text in ("x = " + "-" * n + "1", "x = " + "not " * n + "y", "x = " + " + ".join(["a"] * n), "x = (" + " +\n".join(["a"] * n) + ")", "x = a" + ".b" * n, "if a:\n  pass\n" + "elif b:\n  pass\n" * n):
+        assert fault("python", text.encode() + b"\n") is None
+    for text in ("x = " + "-" * n, "x = " + " + ".join(["a"] * n) + " +", "x = a" + ".b" * n + ".", "if a:\n  pass\n" + "elif b:\n  pass\n" * n + "elif:", "x = " + "- " * n + "1 2"):
+        assert fault("python", text.encode() + b"\n")
+
+
+def test_deep_json_by_its_own_stack():
+    n = 100_000
+    assert fault("json", ("[" * n + "]" * n).encode()) is None
+    for text in ("[" * n + "]" * n + "]", "[" * n + "1,]" + "]" * (n - 1), '{"a":' * n + "1" + "}" * (n - 1), "[" * n + "01" + "]" * n):
+        assert fault("json", text.encode())
+    for text in ('{"a": [1, -2.5e3, "x\\u0041", {}, []], "b": null}', "{}", "[]", '"x"', " 1 "):
+        deep.check_json(text)
+    for text in ("", "{", "[1 2]", '{"a" 1}', '{"a": 1,}', "{1: 2}", "[,]", "tru", "1 2", '"\\x"', "[1]]"):
+        with pytest.raises(Bad):
+            deep.check_json(text)
 
 
 def test_operator(spark):
@@ -67,6 +119,7 @@ def test_operator(spark):
     from skeinflow.llm import validity
 
     judged = {r.file_id: r.bad for r in validity.broken_files(frame, chunk=500).collect()}
+    assert {r.file_id: r.bad for r in validity.broken_files(frame, chunk=40).collect()} == judged  # more steps of the reduction
     assert judged == {1: True, 2: False, 3: False, 4: True, 5: True, 8: True, 9: False, 10: True}
     found = broken(frame, skipped)
     assert {r.file_id for r in found.filter("bad").collect()} == {1, 4, 5, 10}
