@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .leaks import shingles, words_of
-from .near_copies import frequent_codes, near_clusters, prefix_of, sketch_of, word_cluster
+from .near_copies import frequent_codes, near_clusters, prefix_of, word_cluster
 
 #: The tokenizer file used throughout: byte-level BPE as ranks.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -78,13 +78,13 @@ def _sizer(capacities: dict, path: str, frequent: tuple[np.ndarray, np.ndarray],
                 tokens = encoding.encode_ordinary(text)
                 words = words_of(text)
                 cluster, codes = word_cluster(words), np.unique(shingles(words))
-                mark = len(codes), prefix_of(codes, *frequent, similarity), sketch_of(codes)
+                mark = len(codes), prefix_of(codes, *frequent, similarity)
                 lengths = [len(encoding.decode_single_token_bytes(t)) for t in tokens] if len(tokens) > min(capacities.values()) else []
                 for budget, capacity in capacities.items():
                     for k, piece in enumerate(cuts(text, tokens, lengths, capacity)):
                         rows.append((budget, capacity, doc, source, cluster, k, *piece, *mark))
-                        mark = 0, None, None  # once for each text
-            yield pd.DataFrame(rows, columns=["budget_id", "capacity", "doc_id", "source", "cluster", "piece", "start", "end", "n_tokens", "n_codes", "prefix", "sketch"])
+                        mark = 0, None  # once for each text
+            yield pd.DataFrame(rows, columns=["budget_id", "capacity", "doc_id", "source", "cluster", "piece", "start", "end", "n_tokens", "n_codes", "prefix"])
 
     return run
 
@@ -103,9 +103,13 @@ def _parts(keys: list, containers: int) -> list[tuple]:
     return out
 
 
-def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[int]:
-    """The container number of every piece; sizes must not exceed the capacity. The result depends on the input alone."""
-    containers = max(1, math.ceil(sum(sizes) / capacity))
+def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, strict: bool = False) -> list[int]:
+    """The container number of every piece; sizes must not exceed the capacity. The result depends on the input alone.
+
+    A source or cluster with more pieces than the sizes need containers has to meet itself; ``strict`` opens as many
+    containers as it has pieces instead.
+    """
+    containers = len(sizes) + 1 if strict else max(1, math.ceil(sum(sizes) / capacity))
     parts = _parts(sources, containers), _parts(clusters, containers)
     members = Counter(parts[0])
     # By size alone, small pieces of a large source come last, when no container without that source has room.
@@ -139,13 +143,13 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
     return out
 
 
-def _pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
+def _pack_block(pdf: pd.DataFrame, strict: bool) -> pd.DataFrame:
     pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-    pdf["local"] = best_fit(pdf["n_tokens"].tolist(), pdf["source"].tolist(), pdf["cluster"].tolist(), int(pdf["capacity"].iloc[0]))
+    pdf["local"] = best_fit(pdf["n_tokens"].tolist(), pdf["source"].tolist(), pdf["cluster"].tolist(), int(pdf["capacity"].iloc[0]), strict)
     return pdf[["budget_id", "block", "local", "doc_id", "piece", "start", "end", "n_tokens"]]
 
 
-def pack(documents: DataFrame, budgets: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", block_items: int = 20_000, path: str = TOKENIZER, max_budgets: int = 1000, similarity: float = 0.8) -> DataFrame:
+def pack(documents: DataFrame, budgets: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", block_items: int = 20_000, path: str = TOKENIZER, max_budgets: int = 1000, similarity: float = 0.8, strict: bool = False) -> DataFrame:
     """(budget_id, container, doc_id, piece, start, end, n_tokens): where every text, or piece of one, goes.
 
     For every budget, each document with a non-empty text is in exactly one container, or is cut into pieces of
@@ -154,7 +158,8 @@ def pack(documents: DataFrame, budgets: DataFrame, doc: str = "doc_id", text: st
     as they come, so a repeated row is a duplicate of its own. Null capacities are ignored, capacities under four raise
     ValueError, as do more than ``max_budgets`` budgets. Texts of equal words, and texts whose five-word shingles have a
     Jaccard ``similarity`` of this or more, directly or through others, are one duplicate cluster. Blocks hold about ``block_items`` pieces: only the last few
-    containers of each block have much room left.
+    containers of each block have much room left. With ``strict`` no two texts of a source or cluster share a container, however
+    many containers that takes.
     """
     found = budgets.filter("budget_id is not null and capacity is not null").select("budget_id", "capacity").distinct().limit(max_budgets + 1).collect()
     if len(found) > max_budgets:
@@ -167,21 +172,25 @@ def pack(documents: DataFrame, budgets: DataFrame, doc: str = "doc_id", text: st
         return documents.sparkSession.createDataFrame([], f"budget_id {budget_type}, container bigint, doc_id {id_type}, piece int, start int, end int, n_tokens int")
     rows = documents.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.xxhash64(F.col(source)), F.lit(0)).alias("source"))
     sizer = _sizer(capacities, path, frequent_codes(rows), similarity)
-    sized = cut_lineage(rows.mapInPandas(sizer, f"budget_id {budget_type}, capacity bigint, doc_id {id_type}, source bigint, cluster bigint, piece int, start int, end int, n_tokens int, n_codes int, prefix array<bigint>, sketch array<bigint>"))
-    pieces = sized.drop("n_codes", "prefix", "sketch")
-    near = near_clusters(sized.filter("prefix is not null").select("doc_id", "cluster", "n_codes", "prefix", "sketch"), rows.select("doc_id", "text"), similarity)
+    sized = cut_lineage(rows.mapInPandas(sizer, f"budget_id {budget_type}, capacity bigint, doc_id {id_type}, source bigint, cluster bigint, piece int, start int, end int, n_tokens int, n_codes int, prefix array<bigint>"))
+    pieces = sized.drop("n_codes", "prefix")
+    near = near_clusters(sized.filter("prefix is not null").select("doc_id", "cluster", "n_codes", "prefix"), rows.select("doc_id", "text"), similarity)
     if near is not None:
         pieces = pieces.join(near, "cluster", "left").withColumn("cluster", F.coalesce("near", "cluster")).drop("near")
     most = pieces.groupBy("budget_id").count().agg(F.max("count")).first()[0] or 0
     blocks = max(1, -(-most // block_items))
     spread = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(blocks)).cast("int"))
-    packed = cut_lineage(spread.groupBy("budget_id", "block").applyInPandas(_pack_block, f"budget_id {budget_type}, block int, local int, doc_id {id_type}, piece int, start int, end int, n_tokens int"))
+    packed = cut_lineage(spread.groupBy("budget_id", "block").applyInPandas(lambda pdf: _pack_block(pdf, strict), f"budget_id {budget_type}, block int, local int, doc_id {id_type}, piece int, start int, end int, n_tokens int"))
     before = Window.partitionBy("budget_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = packed.groupBy("budget_id", "block").agg((F.max("local") + 1).cast("bigint").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
     return packed.join(offsets.select("budget_id", "block", "offset"), ["budget_id", "block"]).select("budget_id", (F.col("offset") + F.col("local") + 1).alias("container"), "doc_id", "piece", "start", "end", "n_tokens")
 
 
-def room_left(packed: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(budget_id, label, capacity, n_containers, n_pieces, tokens, used): how full the containers of each budget are."""
+def room_left(packed: DataFrame, budgets: DataFrame, documents: DataFrame, doc: str = "doc_id", source: str = "source") -> DataFrame:
+    """(budget_id, label, capacity, n_containers, n_pieces, tokens, used, n_same_source): how full the containers of each budget
+    are, and how many pieces share one with an earlier piece of their source. ``doc_id`` must be unique for the last."""
     sums = packed.groupBy("budget_id").agg(F.max("container").alias("n_containers"), F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("tokens"))
-    return budgets.select("budget_id", "label", "capacity").join(sums, "budget_id").withColumn("used", F.round(F.col("tokens") / (F.col("n_containers") * F.col("capacity")), 4))
+    sources = documents.select(F.col(doc).alias("doc_id"), F.coalesce(F.xxhash64(source), F.lit(0)).alias("source")).dropDuplicates(["doc_id"])
+    cells = packed.join(sources, "doc_id").groupBy("budget_id", "container", "source").agg((F.count(F.lit(1)) - 1).alias("more"))
+    same = cells.groupBy("budget_id").agg(F.sum("more").alias("n_same_source"))
+    return budgets.select("budget_id", "label", "capacity").join(sums, "budget_id").join(same, "budget_id").withColumn("used", F.round(F.col("tokens") / (F.col("n_containers") * F.col("capacity")), 4))

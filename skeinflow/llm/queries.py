@@ -100,7 +100,7 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_room(spark: SparkSession, folder: str) -> DataFrame:
-    return room_left(_packed(spark, folder), table(spark, folder, "context_budgets"))
+    return room_left(_packed(spark, folder), table(spark, folder, "context_budgets"), table(spark, folder, "documents"))
 
 
 # --- 7: evaluation items in the corpus --------------------------------------------------------------------------------

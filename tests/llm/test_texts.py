@@ -168,6 +168,8 @@ def test_sources_and_clusters_stay_apart_wherever_they_can():
     assert len(set(at[:35])) == 35
     at = packing.best_fit([10] * 400, [0] * 60 + list(range(1, 341)), list(range(400)), 100)
     assert max(at[:60].count(k) for k in set(at)) == 2 and max(at) < 42
+    at = packing.best_fit([10] * 400, [0] * 60 + list(range(1, 341)), list(range(400)), 100, strict=True)
+    assert len(set(at[:60])) == 60
     # Small pieces of a large source find room without it.
     sizes = [100] * 20 + [60, 30] * 20 + [10] * 20
     at = packing.best_fit(sizes, list(range(60)) + [99] * 20, list(range(80)), 100)
@@ -198,10 +200,11 @@ def test_near_copies_do_not_share_containers(spark):
         marks = []
         for i, t in enumerate(texts):
             codes = near_copies.np.unique(packing.shingles(words_of(t)))
-            marks.append((i, near_copies.word_cluster(words_of(t)), len(codes), near_copies.prefix_of(codes, *frequent, 0.8), near_copies.sketch_of(codes)))
-        near = {r.cluster: r.near for r in near_copies.near_clusters(spark.createDataFrame(marks, "doc_id long, cluster long, n_codes int, prefix array<long>, sketch array<long>"), docs, 0.8).collect()}
-        got = [near.get(m[1], m[1]) for m in marks]
-        assert all((got[i] == got[j]) == (root[i] == root[j]) for j in range(len(texts)) for i in range(j))
+            marks.append((i, near_copies.word_cluster(words_of(t)), len(codes), near_copies.prefix_of(codes, *frequent, 0.8)))
+        for hot in (1000, 2):  # with and without shingles that too many texts have
+            near = {r.cluster: r.near for r in near_copies.near_clusters(spark.createDataFrame(marks, "doc_id long, cluster long, n_codes int, prefix array<long>"), docs, 0.8, hot).collect()}
+            got = [near.get(m[1], m[1]) for m in marks]
+            assert all((got[i] == got[j]) == (root[i] == root[j]) for j in range(len(texts)) for i in range(j))
 
 
 def test_long_chains_are_one_component(spark):
@@ -230,7 +233,7 @@ def test_packing_is_whole(spark):
             assert "".join(texts[i][a:z] for a, z, _ in parts) == texts[i]
             total = len(encoding.encode_ordinary(texts[i]))
             assert sum(n for _, _, n in parts) == total and (len(parts) == 1) == (total <= capacity)
-    room = {r.budget_id: r.used for r in packing.room_left(packing.pack(d, b), b).collect()}
+    room = {r.budget_id: r.used for r in packing.room_left(packing.pack(d, b), b, d).collect()}
     assert room[1] > 0.9
     assert packing.pack(d.limit(0), b).count() == 0 and packing.pack(d, b.limit(0)).count() == 0
     with pytest.raises(ValueError):
