@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, orphan_queries, table_queries
+from . import graph_queries, orphan_queries, source_queries, table_queries
 
-_MODULES = [graph_queries, table_queries, orphan_queries]
+_MODULES = [graph_queries, table_queries, orphan_queries, source_queries]
 
 
 def queries() -> dict:

@@ -196,15 +196,15 @@ def _facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def source_symbols(spark, folder):
-    return facts.symbols(_facts(spark, folder))
+    return facts.symbols(_facts(spark, folder)).drop("ord")
 
 
 def source_entry_points(spark, folder):
-    return facts.entry_points(_facts(spark, folder))
+    return facts.entry_points(_facts(spark, folder)).drop("ord")
 
 
 def symbol_capabilities(spark, folder):
-    return facts.symbol_capabilities(_facts(spark, folder)).select("path", "scope", F.array_join("caps", "+").alias("caps"))
+    return facts.symbol_capabilities(_facts(spark, folder)).select("path", "name", F.array_join("caps", "+").alias("caps"))
 
 
 def source_call_graph(spark, folder):

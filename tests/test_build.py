@@ -54,15 +54,18 @@ def found(spark):
 def test_nodes_and_edges(spark):
     nodes, edges = build.build(found(spark))
     by_id = {r.id: r for r in nodes.collect()}
-    kinds = {(r.kind, r.name, r.file) for r in by_id.values()}
+    kinds = {(r.kind, r.name, r.file) for r in by_id.values() if r.kind not in ("store", "untrusted_source")}
     assert kinds == {
         ("entry_point", "POST /ask", "app/main.py"), ("sink", "store", "app/main.py"), ("agent", "Planner", "app/runner.py"),
         ("mcp_server", "mail", "mcp/servers/mail/tools.py"), ("tool", "send", "mcp/servers/mail/tools.py"), ("sink", "drop", "mcp/servers/mail/tools.py"),
-        ("mcp_server", "files", "srv.py"), ("tool", "read_file", "srv.py"),
-        ("agent", "AgentExecutor", "chain.py"), ("llm_endpoint", "openai:ChatOpenAI", "chain.py"), ("tool", "look", "chain.py"),
+        ("mcp_server", "files", "srv.py"), ("tool", "read_file", "srv.py"), ("entry_point", "MCP:files", "srv.py"),
+        ("agent", "AgentExecutor", "chain.py"), ("llm_endpoint", "ChatOpenAI", "chain.py"), ("tool", "look", "chain.py"),
     }
     named = {(by_id[r.source_id]["name"], r.kind, by_id[r.target_id]["name"]) for r in edges.collect()}
-    assert named == {("POST /ask", "has_access_to", "store"), ("POST /ask", "delegates_to", "Planner"), ("mail", "provides_tool", "send"), ("send", "has_access_to", "drop"), ("files", "provides_tool", "read_file")}
+    assert named == {
+        ("POST /ask", "has_access_to", "store"), ("POST /ask", "delegates_to", "Planner"), ("mail", "provides_tool", "send"), ("send", "has_access_to", "drop"),
+        ("MCP:files", "delegates_to", "read_file"), ("AgentExecutor", "uses_tool", "look"), ("AgentExecutor", "uses_model", "ChatOpenAI"),
+    }
 
 
 def test_empty_sources_give_nothing(spark):
