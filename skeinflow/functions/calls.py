@@ -265,7 +265,8 @@ def statement_direction(text: Column) -> Column:
 
 
 def writes_in_mode(mode: Column) -> Column:
-    """Whether a file mode writes; no mode reads."""
+    """Whether the literal mode of a bare ``open`` writes. For capabilities a mode that is no literal, or none, reads; where the
+    sides of a store are asked for, ``operators.sites.mode_sides`` says neither."""
     return F.coalesce(mode.rlike("[wax+]"), F.lit(False))
 
 

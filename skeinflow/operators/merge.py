@@ -34,13 +34,30 @@ def _in_order(seq: str, value: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(value).alias("v")))), lambda x: x["v"])
 
 
-def _attributes(seq: str) -> Column:
-    """JSON objects merged key by key, later ones winning; what is no object says nothing. Needs last-wins maps.
+def object_of(attributes: Column) -> Column:
+    """A JSON object as a map of typed values; what is no object is an empty one."""
+    return F.coalesce(F.from_json(attributes, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
 
-    The merge reads values as text, which flat attribute objects survive unchanged apart from their quotes.
-    """
-    maps = F.transform(_in_order(seq, "attributes"), lambda a: F.coalesce(F.from_json(a, "map<string,string>"), F.create_map().cast("map<string,string>")))
-    return F.aggregate(maps, F.create_map().cast("map<string,string>"), lambda old, new: F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new))
+
+def object_json(values: Column) -> Column:
+    """A map of typed values as JSON, keys in order; numbers, booleans, nulls and nested values stay what they are."""
+
+    def pair(key: Column) -> Column:
+        return F.concat(F.regexp_replace(F.to_json(F.struct(key.alias("k"))), r'^\{"k":(.*)\}$', "$1"), F.lit(":"), F.to_json(F.element_at(values, key)))
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(values)), pair), ","), F.lit("}"))
+
+
+def _attributes(seq: str, column: str = "attributes") -> Column:
+    """JSON objects merged key by key, later ones winning; what is no object says nothing. Needs last-wins maps."""
+    maps = F.transform(_in_order(seq, column), object_of)
+    empty = F.create_map().cast("map<string,variant>")
+    merged = F.aggregate(maps, empty, lambda old, new: F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new))
+    return merged
+
+
+def _with_json(rows: DataFrame, column: str) -> DataFrame:
+    return rows.withColumn(column, object_json(F.col(column)))
 
 
 def merge_nodes(rows: DataFrame, seq: str = "seq") -> DataFrame:
@@ -49,7 +66,8 @@ def merge_nodes(rows: DataFrame, seq: str = "seq") -> DataFrame:
     ``seq`` orders the rows; among equal ones any may be the last. Null arrays are empty sets, a null confidence is none.
     """
     last = [F.max_by(c, seq).alias(c) for c in ("kind", "name", "host_id", "content_hash", "status")]
-    return rows.groupBy("id").agg(*last, _attributes(seq).alias("attributes"), _set("capabilities").alias("capabilities"), _set("observed_by").alias("observed_by"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n_rows"))
+    merged = rows.groupBy("id").agg(*last, _attributes(seq).alias("attributes"), _set("capabilities").alias("capabilities"), _set("observed_by").alias("observed_by"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n_rows"))
+    return _with_json(merged, "attributes")
 
 
 def merge_edges(rows: DataFrame, seq: str = "seq") -> DataFrame:
@@ -71,7 +89,7 @@ def merge_edges(rows: DataFrame, seq: str = "seq") -> DataFrame:
         F.max("confidence").alias("confidence"),
         F.count(F.lit(1)).alias("n_rows"),
     )
-    return merged.withColumn("identity_confidence", F.when(F.col("kind").isin("writes_to", "reads_from"), F.col("identity_confidence")))
+    return _with_json(merged, "attributes").withColumn("identity_confidence", F.when(F.col("kind").isin("writes_to", "reads_from"), F.col("identity_confidence")))
 
 
 def upsert_nodes(stored: DataFrame, incoming: DataFrame, seq: str = "seq") -> DataFrame:
@@ -88,7 +106,7 @@ def upsert_findings(rows: DataFrame, seq: str = "seq") -> DataFrame:
     """One row per finding id: evidence by key, the largest confidence, everything else from the last row. Rows on both a
     node and an edge, or on neither, are refused by ``findings_fault``."""
     last = [F.max_by(c, seq).alias(c) for c in ("node_id", "edge_id", "scanner", "rule_id", "severity", "title", "description", "status")]
-    return rows.withColumnRenamed("evidence", "attributes").groupBy("id").agg(*last, _attributes(seq).alias("evidence"), F.max("confidence").alias("confidence"))
+    return _with_json(rows.groupBy("id").agg(*last, _attributes(seq, "evidence").alias("evidence"), F.max("confidence").alias("confidence")), "evidence")
 
 
 def findings_fault(rows: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .merge import object_json, object_of
+
 # The closed vocabularies that summaries fill with zeros, and the limit of an actionable chain.
 SEVERITIES = ("critical", "high", "medium", "low")
 VERDICTS = ("exploitable", "not_exploitable", "uncertain")
@@ -83,10 +85,19 @@ def marked_stale(rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.lit("stale"))
 
 
-def with_attribute(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """``rows`` whose JSON attributes have the key set; what is no object becomes one. Needs last-wins maps."""
-    old = F.coalesce(F.from_json("attributes", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return rows.withColumn("attributes", F.to_json(F.map_concat(F.map_filter(old, lambda k, v: k != key), F.create_map(F.lit(key), F.lit(value)))))
+def with_attribute(rows: DataFrame, key: str, value: Column | str) -> DataFrame:
+    """``rows`` whose JSON attributes have the key set to the value, which keeps its type; what is no object becomes one."""
+    value = value if isinstance(value, Column) else F.lit(value)
+    as_json = F.coalesce(F.regexp_replace(F.nullif(F.to_json(F.struct(value.alias("v"))), F.lit("{}")), r'(?s)^\{"v":(.*)\}$', "$1"), F.lit("null"))
+    old = F.map_filter(object_of(F.col("attributes")), lambda k, v: k != key)
+    return rows.withColumn("attributes", object_json(F.map_concat(old, F.create_map(F.lit(key), F.parse_json(as_json)))))
+
+
+def update_attribute(nodes: DataFrame, id: str, key: str, value: Column | str) -> DataFrame:
+    """``nodes`` with one attribute of one node set; an unknown node raises KeyError."""
+    if nodes.filter(F.col("id") == id).isEmpty():
+        raise KeyError(id)
+    return nodes.filter(F.col("id") != id).unionByName(with_attribute(nodes.filter(F.col("id") == id), key, value))
 
 
 def retained(rows: DataFrame, now: Column, days: int) -> DataFrame:
@@ -95,6 +106,66 @@ def retained(rows: DataFrame, now: Column, days: int) -> DataFrame:
     return rows.filter(~F.coalesce(old, F.lit(False)))
 
 
+#: The keys of the thresholds, in days, after which stale rows of a table are deleted.
+RETENTION = {"nodes": "cleanup_stale_days", "findings": "cleanup_findings_days", "chains": "cleanup_chains_days"}
+# The keys of the state of a host, and those whose values are true or false.
+STATE_KEYS = ("phase1_done", "scan_done", "report_fresh", "last_report_at", "dynamic_enabled", *RETENTION.values(), "cleanup_reports_days")
+FLAG_KEYS = ("phase1_done", "scan_done", "report_fresh", "dynamic_enabled")
+
+
+def retention(tables: dict[str, DataFrame], state: DataFrame, host: str, now: Column) -> dict[str, DataFrame]:
+    """The tables (of ``RETENTION``) without the rows stale for longer than the host's state allows each; each with the column
+    ``kept``, so deleted rows can be counted. A missing or wrong threshold raises ValueError."""
+    out = {}
+    days = {r.key: r.value for r in state.filter((F.col("host_id") == host) & F.col("key").isin(*RETENTION.values())).select("key", "value").collect()}
+    for name, rows in tables.items():
+        limit = days.get(RETENTION[name])
+        if limit is None or not str(limit).lstrip("-").isdigit():
+            raise ValueError(f"{RETENTION[name]} is {limit!r} for {host}")
+        old = (F.col("status") == "stale") & (F.col("updated_at") < now - F.make_dt_interval(F.lit(int(limit))))
+        out[name] = rows.withColumn("kept", ~F.coalesce(old, F.lit(False)))
+    return out
+
+
+def set_state(state: DataFrame, host: str, key: str, value: str | bool | None) -> DataFrame:
+    """``state`` (host_id, key, value) with one value set; unknown keys, and values of the wrong type, raise ValueError."""
+    if key not in STATE_KEYS:
+        raise ValueError(f"unknown state key {key!r}")
+    if value is not None and isinstance(value, bool) != (key in FLAG_KEYS):
+        raise ValueError(f"{key!r} takes {'true or false' if key in FLAG_KEYS else 'text'}")
+    text = ("true" if value else "false") if isinstance(value, bool) else value
+    mine = (F.col("host_id") == host) & (F.col("key") == key)
+    row = state.sparkSession.createDataFrame([(host, key, text)], "host_id string, key string, value string")
+    return state.select("host_id", "key", "value").filter(~mine).unionByName(row)
+
+
+def typed_state(state: DataFrame) -> DataFrame:
+    """(host_id, key, value, flag, number): values read as what their keys hold; wrong numbers are null."""
+    return state.select("host_id", "key", "value", F.when(F.col("key").isin(*FLAG_KEYS), F.coalesce(F.col("value") == "true", F.lit(False))).alias("flag"), F.when(~F.col("key").isin(*FLAG_KEYS), F.col("value").try_cast("int")).alias("number"))
+
+
+def register_host(hosts: DataFrame, host: str, platform: str, at: Column) -> DataFrame:
+    """``hosts`` (id, platform, status, last_heartbeat) with the host active on the platform; it keeps its heartbeat."""
+    if platform not in ("swarm", "k8s", "standalone"):
+        raise ValueError(f"unknown platform {platform!r}")
+    row = hosts.sparkSession.range(1).select(F.lit(host).alias("id"), F.lit(platform).alias("platform"), F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("last_heartbeat"))
+    both = hosts.select("id", "platform", "status", "last_heartbeat", F.lit(0).alias("seq")).unionByName(row.withColumn("seq", F.lit(1)))
+    return both.groupBy("id").agg(F.max_by("platform", "seq").alias("platform"), F.max_by("status", "seq").alias("status"), F.max("last_heartbeat").alias("last_heartbeat"))
+
+
+def heartbeat(hosts: DataFrame, beats: DataFrame) -> DataFrame:
+    """``hosts`` with the latest of their beats (host_id, at): a host that beats is active."""
+    last = beats.groupBy(F.col("host_id").alias("id")).agg(F.max("at").alias("_at"))
+    joined = hosts.join(last, "id", "left")
+    return joined.withColumn("status", F.when(F.col("_at").isNotNull(), "active").otherwise(F.col("status"))).withColumn("last_heartbeat", F.greatest("last_heartbeat", "_at")).drop("_at")
+
+
+def unreachable(hosts: DataFrame, since: Column) -> DataFrame:
+    """``hosts`` with those unreachable that have not been heard of since then."""
+    silent = (F.col("status") == "active") & (F.coalesce("last_heartbeat", F.lit("0001-01-01").cast("timestamp")) < since)
+    return hosts.withColumn("status", F.when(silent, "unreachable").otherwise(F.col("status")))
+
+
 def global_flag(hosts: DataFrame, state: DataFrame, key: str) -> DataFrame:
     """(flag): whether there are hosts and the key is ``true`` for all of them."""
     own = state.filter(F.col("key") == key).select("host_id", "value")
@@ -103,8 +174,9 @@ def global_flag(hosts: DataFrame, state: DataFrame, key: str) -> DataFrame:
 
 
 def global_int_min(hosts: DataFrame, state: DataFrame, key: str) -> DataFrame:
-    """(least): the smallest integer value of the key over the hosts that have it; null if none has."""
-    return hosts.select(F.col("id").alias("host_id")).join(state.filter(F.col("key") == key), "host_id").agg(F.min(F.col("value").try_cast("int")).alias("least"))
+    """(least): the smallest integer value of the key over the hosts that have it; reading it fails if no host has one."""
+    least = hosts.select(F.col("id").alias("host_id")).join(state.filter(F.col("key") == key), "host_id").agg(F.min(F.col("value").try_cast("int")).alias("least"))
+    return least.select(F.coalesce("least", F.raise_error(F.lit(f"no host has a value for {key}")).cast("int")).alias("least"))
 
 
 def task_counters(events: DataFrame) -> DataFrame:
@@ -113,8 +185,6 @@ def task_counters(events: DataFrame) -> DataFrame:
     An event is ``started``, ``done``, ``failed``, ``timeout`` or ``reset``; the active count never falls under zero, which
     makes it the running sum minus its own lowest point, and a reset starts all counts again.
     """
-    from pyspark.sql import Window
-
     host = Window.partitionBy("host_id", "kind").orderBy("seq")
     epochs = events.withColumn("epoch", F.sum((F.col("event") == "reset").cast("long")).over(host)).withColumn("last", F.max("epoch").over(Window.partitionBy("host_id", "kind")))
     live = epochs.filter("epoch = last")
@@ -126,11 +196,31 @@ def task_counters(events: DataFrame) -> DataFrame:
     )
 
 
+def task_status(events: DataFrame) -> DataFrame:
+    """(host_id, scan_done, dynamic_alive): whether no static task is active, and whether a dynamic cycle has ever completed.
+    Events are those of ``task_counters``, and ``cycle`` marks a completed cycle."""
+    counted = task_counters(events.filter("event <> 'cycle'")).filter("kind = 'static'").select("host_id", (F.col("active") == 0).alias("scan_done"))
+    lived = events.filter("kind = 'dynamic' and event in ('done', 'failed', 'timeout', 'cycle')").select("host_id", F.lit(True).alias("dynamic_alive")).distinct()
+    hosts = events.select("host_id").distinct()
+    return hosts.join(counted, "host_id", "left").join(lived, "host_id", "left").select("host_id", F.coalesce("scan_done", F.lit(False)).alias("scan_done"), F.coalesce("dynamic_alive", F.lit(False)).alias("dynamic_alive"))
+
+
 def set_current(reports: DataFrame, host: str, report: str) -> DataFrame:
     """``reports`` with the one report current for its host and the others of the host archived."""
     return reports.withColumn("is_current", F.when(F.col("host_id") == host, F.col("id") == report).otherwise(F.col("is_current")))
 
 
+def add_report(reports: DataFrame, id: str, host: str, tier: str, at: Column) -> DataFrame:
+    """``reports`` (id, host_id, tier, is_current, generated_at) with a new one, current for its host; others are archived."""
+    row = reports.sparkSession.range(1).select(F.lit(id).alias("id"), F.lit(host).alias("host_id"), F.lit(tier).alias("tier"), F.lit(True).alias("is_current"), at.alias("generated_at"))
+    return set_current(reports.select(*row.columns).unionByName(row), host, id)
+
+
+def current_report(reports: DataFrame, host: str) -> DataFrame:
+    """The host's current report, at most one row."""
+    return reports.filter((F.col("host_id") == host) & F.col("is_current")).orderBy(F.col("generated_at").desc(), "id").limit(1)
+
+
 def faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(table, rule, n) of the invariants of the data model that rows break."""
     checks = [

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Weights of the score's components and the limits of its buckets.
 WEIGHTS = {"lethal_trifecta": 5, "dangerous_sink": 4, "exfil_or_write": 3, "writes_db": 3, "authenticated_entry": 0, "user_writable_source": 2, "user_readable_source": 1, "short_chain": 1, "stale_node": -2, "shared_entry": 0}
 SHORT_HOPS = 6
@@ -82,9 +84,13 @@ def priority(score: Column, high: float = HIGH_FROM, medium: float = MEDIUM_FROM
     return F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
 
 
-def prioritise(scored: DataFrame, max_evaluated: int = 100, min_score: float = 3) -> DataFrame:
-    """The best ``max_evaluated`` groups of at least ``min_score``, by score and then id, with their priority."""
-    if max_evaluated < 0 or min_score < 0:
+def prioritise(groups: DataFrame, nodes: DataFrame, max_scored: int = 10_000, max_evaluated: int = 100, min_score: float = 3) -> DataFrame:
+    """(group_id, score, priority) of every group: the first ``max_scored`` in the order of enumeration are scored; of those with
+    at least ``min_score`` the best ``max_evaluated``, by score and then id, get a priority, all others keep a null one."""
+    if min(max_scored, max_evaluated, min_score) < 0:
         raise ValueError("limits must not be negative")
+    order = [F.col("store_id").asc_nulls_first(), "source_id", "write_id", "read_id"]
+    scored = cut_lineage(score_groups(groups.orderBy(*order).limit(max_scored), nodes).select("group_id", "score"))
     best = scored.filter(F.col("score") >= min_score).orderBy(F.col("score").desc(), "group_id").limit(max_evaluated)
-    return best.withColumn("priority", priority(F.col("score")))
+    chosen = best.select("group_id", priority(F.col("score")).alias("priority"))
+    return groups.select("group_id").join(scored, "group_id", "left").join(chosen, "group_id", "left")

@@ -91,3 +91,24 @@ def validate_chains(chains: DataFrame, graph: Graph, id: str = "id", entry_kind:
     ok = F.size("found") == 0
     texts = F.transform("found", lambda x: x["text"])
     return chosen.select("id", ok.alias("ok"), F.when(ok, "semantic").otherwise("existence").alias("validated_kind"), F.array_distinct(texts).alias("notes"))
+
+
+def chain_faces(chains: DataFrame, graph: Graph, id: str = "id", entry_kind: str = "entry_point", sink_kind: str = "sink") -> DataFrame:
+    """(id, exists, connected, typed): whether all nodes and edges of a chain are there; whether it has an edge less than nodes
+    and each leads from its node to the next; whether it begins at an entry and ends at a sink."""
+    base = chains.select(F.col(id).alias("id"), F.coalesce("chain_nodes", F.array().cast("array<string>")).alias("n"), F.coalesce("chain_edges", F.array().cast("array<string>")).alias("e"))
+    dangerous = F.coalesce(F.arrays_overlap("capabilities", F.array(*[F.lit(c) for c in SINK_CAPABILITIES])), F.lit(False))
+    known = graph.nodes.select(F.col("id").alias("ref"), "kind", ((F.col("kind") == sink_kind) | dangerous).alias("sink"))
+    nodes = base.select("id", F.posexplode("n").alias("pos", "ref"), (F.size("n") - 1).alias("last")).join(known, "ref", "left")
+    of_nodes = nodes.groupBy("id").agg(F.bool_and(F.col("kind").isNotNull()).alias("nodes_there"), F.bool_or((F.col("pos") == 0) & (F.col("kind") == entry_kind)).alias("begins"), F.bool_or((F.col("pos") == F.col("last")) & F.col("sink")).alias("ends"))
+    edges = base.select("id", F.posexplode("e").alias("pos", "ref"), "n").select("id", "ref", F.get("n", F.col("pos")).alias("a"), F.get("n", F.col("pos") + 1).alias("b")).join(graph.edges.select(F.col("id").alias("ref"), "source_id", "target_id"), "ref", "left")
+    of_edges = edges.groupBy("id").agg(F.bool_and(F.col("source_id").isNotNull()).alias("edges_there"), F.bool_and(F.coalesce((F.col("source_id") == F.col("a")) & (F.col("target_id") == F.col("b")), F.lit(False))).alias("lead"))
+    whole = base.join(of_nodes, "id", "left").join(of_edges, "id", "left")
+    some = (F.size("n") > 0) & (F.size("e") > 0)
+    no = F.lit(False)
+    return whole.select(
+        "id",
+        (some & F.coalesce("nodes_there", no) & F.coalesce("edges_there", no)).alias("exists"),
+        (some & (F.size("e") == F.size("n") - 1) & F.coalesce("lead", no)).alias("connected"),
+        (F.coalesce("begins", no) & F.coalesce("ends", no)).alias("typed"),
+    )

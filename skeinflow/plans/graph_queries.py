@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
-from ..operators import paths, reports, scoring, validation
+from ..operators import paths, reports, rows, scoring, validation
 from ..tables import latest, table
 from .projection import projected_graph
 
@@ -94,7 +94,8 @@ def group_scores(spark, folder):
 
 
 def group_priority_topn(spark, folder):
-    return scoring.prioritise(_scores(spark, folder)).select("group_id", "score", "priority")
+    graph = g.stored_graph(spark, folder, _SCORED_NODES, g.LINK_EDGES)
+    return scoring.prioritise(paths.chain_groups(graph, max_groups=None, include_weak=True), graph.nodes)
 
 
 def validate_edges(spark, folder):
@@ -105,24 +106,64 @@ def validate_edges(spark, folder):
 
 def validate_chains(spark, folder):
     found = validation.validate_chains(stored_chains(spark, folder, "chain_nodes", "chain_edges"), g.stored_graph(spark, folder, ("kind", "capabilities", "attributes"), ("source_id", "target_id", "kind")))
-    return found.select("id", "ok", "validated_kind", F.size("notes").cast("bigint").alias("n_notes"))
+    return found.select("id", "ok", "validated_kind", F.size("notes").cast("bigint").alias("n_notes"), F.array_join(F.array_sort("notes"), "\n").alias("notes"))
 
 
 def anchors_usable(spark, folder):
-    return validation.usable_anchors(g.stored_graph(spark, folder, ("kind", "capabilities", "attributes"), ("source_id", "target_id", "kind")))
+    """On nodes whose source type, which the stored ones only name, is an attribute."""
+    graph = g.stored_graph(spark, folder, ("kind", "name", "capabilities", "attributes"), ("source_id", "target_id", "kind"))
+    typed = rows.with_attribute(graph.nodes.filter("kind = 'untrusted_source'"), "source_type", F.split_part("name", F.lit(":"), F.lit(1)))
+    nodes = graph.nodes.filter("kind <> 'untrusted_source'").unionByName(typed)
+    return validation.usable_anchors(g.Graph(nodes, graph.edges))
 
 
 def lethal_trifecta(spark, folder):
-    nodes = g.stored_nodes(spark, folder, "capabilities")
-    return nodes.select("id", F.array_join(scoring.trifecta_hits("capabilities"), "+").alias("hits")).filter("hits <> ''")
+    """Of the files whose nodes have all three together."""
+    nodes = g.stored_nodes(spark, folder, "capabilities", "attributes").withColumn("file", F.get_json_object("attributes", "$.file")).filter("file is not null")
+    together = nodes.groupBy("file").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("capabilities", F.array().cast("array<string>"))))).alias("capabilities"))
+    return together.select("file", F.array_join(scoring.trifecta_hits("capabilities"), "+").alias("hits")).filter("hits <> ''")
 
 
 def orphan_entries(spark, folder):
-    graph = g.stored_graph(spark, folder, ("kind", "status"), ("source_id", "kind", "status"))
-    out = graph.edges.filter("status = 'active' and kind = 'delegates_to'").select(F.col("source_id").alias("id"))
+    """Entries that no run has seen delegate to anything."""
+    graph = g.stored_graph(spark, folder, ("kind", "status"), ("source_id", "kind", "status", "observed_by"))
+    out = graph.edges.filter((F.col("status") == "active") & (F.col("kind") == "delegates_to") & F.array_contains("observed_by", "runtime")).select(F.col("source_id").alias("id"))
     return graph.nodes.filter("status = 'active' and kind = 'entry_point'").select("id").join(out, "id", "left_anti")
 
 
+def chain_faces(spark, folder):
+    return validation.chain_faces(stored_chains(spark, folder, "chain_nodes", "chain_edges"), g.stored_graph(spark, folder, ("kind", "capabilities"), ("source_id", "target_id")))
+
+
+def neighbour_edges(spark, folder):
+    graph = g.stored_graph(spark, folder, ("kind", "status"), ("source_id", "target_id", "status"))
+    starts = graph.nodes.filter("status = 'active' and kind = 'guardrail'")
+    return g.edges_met(graph, g.neighbours(graph, starts, 2), 2)
+
+
+def nodes_listed(spark, folder):
+    return rows.listed(g.stored_nodes(spark, folder, "kind", "host_id", "status"), ["id"], 200, kind="tool", status="active").select("id")
+
+
+def nodes_of_chains(spark, folder):
+    lists = stored_chains(spark, folder, "chain_nodes").select(F.col("id").alias("list"), F.col("chain_nodes").alias("ids"))
+    return g.in_order(lists, g.stored_nodes(spark, folder, "kind")).select("list", F.col("pos").cast("bigint").alias("pos"), "id", "kind")
+
+
+def projected_store_groups(spark, folder):
+    """The store-joined tuples of the projected graph: a write link, a store, a source."""
+    graph = projected_graph(spark, folder)
+    links = graph.edges.select("source_id", "target_id", "kind", "identity_confidence")
+    writes = links.filter("kind = 'writes_to'").select(F.col("source_id").alias("writer"), F.col("target_id").alias("store"), F.col("identity_confidence").alias("w"))
+    reads = links.filter("kind = 'reads_from'").select(F.col("source_id").alias("store"), F.col("target_id").alias("source"), F.col("identity_confidence").alias("r"))
+    sinks = links.filter("kind = 'has_access_to' and startswith(source_id, 'untrusted_source')").groupBy(F.col("source_id").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    # Tuples are counted and not made: all sinks of a source have the same links.
+    sure = paths.join_confidence(F.col("w"), F.col("r"))
+    counted = writes.join(reads, "store").join(sinks, "source").select(sure.alias("c"), "n")
+    total = [F.coalesce(F.sum(F.when(F.col("c") >= least, F.col("n"))), F.lit(0)).alias(name) for name, least in (("every", 0.0), ("believed", paths.WEAK_FLOOR), ("strong", paths.STRONG))]
+    return counted.agg(*total)
+
+
 def paths_named(spark, folder):
     return reports.paths_named(stored_chains(spark, folder, "chain_nodes"), g.stored_nodes(spark, folder, "kind", "name"), "id", "chain_nodes")
 
@@ -152,6 +193,11 @@ QUERIES = {
     "lethal_trifecta": lethal_trifecta,
     "orphan_entries": orphan_entries,
     "paths_named": paths_named,
+    "chain_faces": chain_faces,
+    "neighbour_edges": neighbour_edges,
+    "nodes_listed": nodes_listed,
+    "nodes_of_chains": nodes_of_chains,
+    "projected_store_groups": projected_store_groups,
 }
 
 LATEST = """
@@ -241,7 +287,9 @@ select st entry, count(*) n, min(hops)::int shortest from p where cur like 'sink
     "store_groups_capped": _GROUPS + _GROUP_COLUMNS + " qualify row_number() over (order by store_id nulls first, source_id, write_id, read_id) <= 500",
     "group_scores": _SCORED + """select group_id, score, lethal_trifecta, dangerous_sink, exfil_or_write, writes_db, user_writable_source, user_readable_source, short_chain, stale_node,
   lethal_trifecta_at, dangerous_sink_at, exfil_or_write_at, writes_db_at, stale_node_at from u""",
-    "group_priority_topn": _SCORED + "select group_id, score, case when score >= 15 then 'high' when score >= 10 then 'medium' else 'low' end priority from u where score >= 3 order by score desc, group_id limit 100",
+    "group_priority_topn": _SCORED + """, f as (select group_id, row_number() over (order by store_id nulls first, source_id, write_id, read_id) i from groups), so as (select u.group_id, u.score from u join f using (group_id) where i <= 10000),
+  bo as (select group_id, case when score >= 15 then 'high' when score >= 10 then 'medium' else 'low' end priority from so where score >= 3 order by score desc, group_id limit 100)
+  select group_id, score, priority from f left join so using (group_id) left join bo using (group_id)""",
     "validate_edges": LATEST + """, x as (select id, unnest(chain_edges) ref, unnest(range(1, len(chain_edges) + 1)) pos from c)
 select c.id chain_id, (select count(*) from x where x.id = c.id and ref in (select id from e)) n_existing,
   coalesce((select string_agg(ref, '>' order by pos) from x where x.id = c.id and ref is not null and ref not in (select id from e)), '') missing from c""",
@@ -249,19 +297,38 @@ select c.id chain_id, (select count(*) from x where x.id = c.id and ref in (sele
 cn as (select id, unnest(coalesce(chain_nodes, [])) ref, unnest(range(1, len(coalesce(chain_nodes, [])) + 1)) pos from c), ce as (select id, unnest(coalesce(chain_edges, [])) ref, unnest(range(1, len(coalesce(chain_edges, [])) + 1)) pos from c),
 us as (select distinct n.id from n join e on e.source_id = n.id and e.kind = 'has_access_to' join n r on r.id = e.target_id and list_contains(r.capabilities, 'reads_untrusted')
   where n.kind = 'untrusted_source' and json_extract_string(n.attributes, '$.source_type') in ('rag_corpus', 'mcp_tool_description', 'email_inbox')),
-mn as (select id, count(distinct coalesce(ref, '')) k from cn where ref is null or ref not in (select id from n) group by id), me as (select id, count(distinct coalesce(ref, '')) k from ce where ref is null or ref not in (select id from e) group by id),
-ln as (select c.id, count(*) k from c join ce on ce.id = c.id join e on e.id = ce.ref where ce.pos < len(c.chain_nodes) and (e.source_id <> c.chain_nodes[ce.pos] or e.target_id <> c.chain_nodes[ce.pos + 1]) group by c.id),
-an as (select cn.id, count(distinct ref) k from cn join n on n.id = cn.ref where n.kind = 'untrusted_source' and n.id not in (select id from us) group by cn.id),
-q as (select c.id, case when len(coalesce(c.chain_nodes, [])) = 0 then 1 when len(coalesce(c.chain_edges, [])) = 0 then -1 else coalesce(mn.k, 0) + coalesce(me.k, 0) end ex,
-  (len(c.chain_edges) <> len(c.chain_nodes) - 1)::int + coalesce(ln.k, 0) + (f.kind is distinct from 'entry_point')::int
-  + (not coalesce(l.kind = 'sink' or list_has_any(l.capabilities, ['executes_code', 'executes_shell', 'writes_filesystem', 'writes_db', 'http_egress']), false))::int + coalesce(an.k, 0) rest
-  from c left join mn on mn.id = c.id left join me on me.id = c.id left join ln on ln.id = c.id left join an on an.id = c.id left join n f on f.id = c.chain_nodes[1] left join n l on l.id = c.chain_nodes[-1])
-select id, ex = 0 and rest = 0 ok, case when ex = 0 and rest = 0 then 'semantic' else 'existence' end validated_kind, case when ex <> 0 then abs(ex) else rest end::bigint n_notes from q""",
-    "anchors_usable": LATEST + """ select distinct n.id from n join e on e.source_id = n.id and e.kind = 'has_access_to' join n r on r.id = e.target_id and list_contains(r.capabilities, 'reads_untrusted')
-  where n.kind = 'untrusted_source' and json_extract_string(n.attributes, '$.source_type') in ('rag_corpus', 'mcp_tool_description', 'email_inbox')""",
-    "lethal_trifecta": LATEST + """ select id, array_to_string(list_sort(list_distinct(list_intersect(capabilities, ['reads_untrusted', 'reads_secrets', 'reads_env', 'http_egress', 'writes_filesystem', 'executes_shell', 'executes_code']))), '+') hits from n
-  where list_contains(capabilities, 'reads_untrusted') and list_has_any(capabilities, ['reads_secrets', 'reads_env']) and list_has_any(capabilities, ['http_egress', 'writes_filesystem', 'executes_shell', 'executes_code'])""",
-    "orphan_entries": LATEST + " select id from n where status = 'active' and kind = 'entry_point' and id not in (select source_id from e where status = 'active' and kind = 'delegates_to')",
+x as (select id, coalesce(chain_nodes, []) n, coalesce(chain_edges, []) e from c),
+ex as (select id, 'no nodes' note from x where len(n) = 0 union all select id, 'no edges' from x where len(n) > 0 and len(e) = 0
+  union all select id, 'missing node ' || coalesce(ref, '(null)') from cn where ref is null or ref not in (select id from n) union all select id, 'missing edge ' || coalesce(ref, '(null)') from ce where (ref is null or ref not in (select id from e)) and id in (select id from x where len(n) > 0)),
+rs as (select id, 'hop count: ' || len(e) || ' edge(s) for ' || len(n) || ' node(s), expected ' || (len(n) - 1) note from x where len(e) <> len(n) - 1
+  union all select x.id, 'disconnected: edge ' || ce.ref || ' links ' || e.source_id || ' -> ' || e.target_id || ', expected ' || x.n[ce.pos] || ' -> ' || x.n[ce.pos + 1] from x join ce on ce.id = x.id join e on e.id = ce.ref where ce.pos < len(x.n) and (e.source_id <> x.n[ce.pos] or e.target_id <> x.n[ce.pos + 1])
+  union all select x.id, 'first node ' || x.n[1] || ' is not a entry_point' from x left join n f on f.id = x.n[1] where f.kind is distinct from 'entry_point'
+  union all select x.id, 'last node ' || x.n[-1] || ' is not a sink' from x left join n l on l.id = x.n[-1] where not coalesce(l.kind = 'sink' or list_has_any(l.capabilities, ['executes_code', 'executes_shell', 'writes_filesystem', 'writes_db', 'http_egress']), false)
+  union all select cn.id, 'untrusted anchor ' || cn.ref || ' is not a usable source' from cn join n on n.id = cn.ref where n.kind = 'untrusted_source' and n.id not in (select id from us)),
+al as (select * from ex union all select * from rs where id not in (select id from ex)), nt as (select id, list_sort(list_distinct(list(note))) notes from al group by id)
+select x.id, nt.id is null ok, case when nt.id is null then 'semantic' else 'existence' end validated_kind, coalesce(len(notes), 0)::bigint n_notes, coalesce(array_to_string(notes, chr(10)), '') notes from x left join nt on nt.id = x.id""",
+    "anchors_usable": LATEST + """ select distinct n.id from n join e on e.source_id = n.id and e.kind = 'has_access_to' join n r on r.id = e.target_id and r.kind <> 'untrusted_source' and list_contains(r.capabilities, 'reads_untrusted')
+  where n.kind = 'untrusted_source' and split_part(n.name, ':', 1) in ('rag_corpus', 'mcp_tool_description', 'email_inbox')""",
+    "lethal_trifecta": LATEST + """, f as (select json_extract_string(attributes, '$.file') file, list_distinct(flatten(list(coalesce(capabilities, [])))) c from n where json_extract_string(attributes, '$.file') is not null group by 1)
+select file, array_to_string(list_sort(list_distinct(list_concat(['reads_untrusted'], list_intersect(c, ['reads_secrets', 'reads_env', 'http_egress', 'writes_filesystem', 'executes_shell', 'executes_code'])))), '+') hits from f
+  where list_contains(c, 'reads_untrusted') and list_has_any(c, ['reads_secrets', 'reads_env']) and list_has_any(c, ['http_egress', 'writes_filesystem', 'executes_shell', 'executes_code'])""",
+    "orphan_entries": LATEST + " select id from n where status = 'active' and kind = 'entry_point' and id not in (select source_id from e where status = 'active' and kind = 'delegates_to' and list_contains(observed_by, 'runtime'))",
+    "chain_faces": LATEST + """, x as (select id, coalesce(chain_nodes, []) n, coalesce(chain_edges, []) e from c),
+xn as (select id, unnest(n) ref, unnest(range(1, len(n) + 1)) pos, len(n) last from x), xe as (select id, unnest(e) ref, unnest(range(1, len(e) + 1)) pos, n from x),
+an as (select xn.id, bool_and(n.kind is not null) there, bool_or(pos = 1 and n.kind = 'entry_point') bs, bool_or(pos = last and (n.kind = 'sink' or coalesce(list_has_any(n.capabilities, ['executes_code', 'executes_shell', 'writes_filesystem', 'writes_db', 'http_egress']), false))) es from xn left join n on n.id = xn.ref group by 1),
+ae as (select xe.id, bool_and(e.source_id is not null) there, bool_and(coalesce(e.source_id = xe.n[pos] and e.target_id = xe.n[pos + 1], false)) lead from xe left join e on e.id = xe.ref group by 1)
+select x.id, len(x.n) > 0 and len(x.e) > 0 and coalesce(an.there, false) and coalesce(ae.there, false) as "exists", len(x.n) > 0 and len(x.e) > 0 and len(x.e) = len(x.n) - 1 and coalesce(lead, false) connected, coalesce(bs, false) and coalesce(es, false) typed from x left join an using (id) left join ae using (id)""",
+    "neighbour_edges": LATEST + """, a as (select id, source_id, target_id from e where status = 'active'), b as (select source_id a, target_id b from a union select target_id, source_id from a),
+x as (select id st, id, 0 d from n where status = 'active' and kind = 'guardrail' union select x.st, b.b, x.d + 1 from x join b on b.a = x.id where x.d < 1)
+select distinct st as start, a.id edge_id from x join a on a.source_id = x.id or a.target_id = x.id""",
+    "nodes_listed": LATEST + " select id from n where kind = 'tool' and status = 'active' order by id limit 200",
+    "nodes_of_chains": LATEST + ", x as (select id list, unnest(chain_nodes) ref, unnest(range(len(chain_nodes))) pos from c) select list, pos::bigint pos, n.id, n.kind from x join n on n.id = x.ref",
+    "projected_store_groups": """
+with w as (select 'store:S' || l_suppkey store, cast(1 + max(l_linenumber) % 5 + l_suppkey % 3 as double) / 8 c from lineitem where l_discount >= 0.09 and l_quantity >= 40 group by l_orderkey, l_suppkey),
+r as (select 'store:S' || s_suppkey store, s_nationkey source, cast(1 + s_suppkey % 7 as double) / 8 c from supplier),
+k as (select n_nationkey source, count(*) n from nation join part on p_partkey % 25 = n_nationkey and p_size <= 4 group by 1),
+t as (select least(w.c, r.c) c, n from w join r using (store) join k using (source))
+select coalesce(sum(n), 0)::bigint as "every", coalesce(sum(n) filter (where c >= 0.3), 0)::bigint believed, coalesce(sum(n) filter (where c >= 0.7), 0)::bigint strong from t""",
     "paths_named": LATEST + """ select x.id, string_agg(case when n.id is null then x.ref else concat_ws(':', n.kind, n.name) end, ' -> ' order by pos) path
   from (select id, unnest(chain_nodes) ref, unnest(range(1, len(chain_nodes) + 1)) pos from c) x left join n on n.id = x.ref group by x.id""",
 }

@@ -13,17 +13,24 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 # What a scan passes by, and what it calls the languages of the files it keeps.
-EXCLUDED_DIRS = ".git .hg .svn node_modules __pycache__ .pytest_cache .mypy_cache .ruff_cache .venv venv env dist build .eggs .idea .vscode .ast-cache .tree-sitter-cache".split()
-EXCLUDED_EXTENSIONS = """.pyc .pyo .so .dylib .dll .o .a .jpg .jpeg .png .gif .webp .svg .ico .bmp .tiff .mp3 .mp4 .mov .avi .webm .wav .zip .tar .gz .bz2 .xz .7z .rar
-.pdf .doc .docx .xls .xlsx .ppt .pptx .woff .woff2 .ttf .eot .db .sqlite .sqlite3 .html .htm .css .scss .sass .less .lock""".split()
-ALLOWED_HIDDEN = ".env .gitignore .dockerignore".split()
+EXCLUDED_DIRS = (
+    ".git", ".hg", ".svn", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".venv", "venv", "env", "dist", "build",
+    ".eggs", ".idea", ".vscode", ".ast-cache", ".tree-sitter-cache",
+)
+EXCLUDED_EXTENSIONS = (
+    ".pyc", ".pyo", ".so", ".dylib", ".dll", ".o", ".a", ".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".ico", ".bmp", ".tiff", ".mp3", ".mp4",
+    ".mov", ".avi", ".webm", ".wav", ".zip", ".tar", ".gz", ".bz2", ".xz", ".7z", ".rar", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx",
+    ".woff", ".woff2", ".ttf", ".eot", ".db", ".sqlite", ".sqlite3", ".html", ".htm", ".css", ".scss", ".sass", ".less", ".lock",
+)
+ALLOWED_HIDDEN = (".env", ".gitignore", ".dockerignore")
 LARGEST = 10 * 1024 * 1024
-LANGUAGES = dict(
-    x.split(":")
-    for x in """.py:python .pyi:python .ts:typescript .tsx:typescript .js:javascript .jsx:javascript .mjs:javascript .cjs:javascript .go:go .rs:rust .java:java .kt:kotlin .kts:kotlin
-.scala:scala .rb:ruby .php:php .cs:csharp .swift:swift .c:c .h:c .cc:cpp .cpp:cpp .cxx:cpp .hpp:cpp .sh:shell .bash:shell .mako:mako .yaml:yaml .yml:yaml .json:json .toml:toml
-.ini:ini .env:dotenv .sql:sql .md:markdown""".split()
-)
+LANGUAGES = {
+    ".py": "python", ".pyi": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript",
+    ".cjs": "javascript", ".go": "go", ".rs": "rust", ".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".scala": "scala", ".rb": "ruby",
+    ".php": "php", ".cs": "csharp", ".swift": "swift", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".hpp": "cpp",
+    ".sh": "shell", ".bash": "shell", ".mako": "mako", ".yaml": "yaml", ".yml": "yaml", ".json": "json", ".toml": "toml", ".ini": "ini",
+    ".env": "dotenv", ".sql": "sql", ".md": "markdown",
+}
 NAMES = {"Dockerfile": "dockerfile", "dockerfile": "dockerfile", "Makefile": "makefile", "makefile": "makefile", ".env": "dotenv", ".gitignore": "gitignore", ".dockerignore": "dockerignore", "README": "markdown"}
 
 
@@ -141,7 +148,7 @@ def endpoints(keys: DataFrame) -> DataFrame:
     """(provider, model, base_url, path, raw_keys): one endpoint per file that names any of the three, then one per triple.
 
     The first provider key wins, else the provider that a key's name begins with; exact model and address keys win over
-    keys that end like one. Of equal endpoints the first path stands, and raw keys are merged.
+    keys that end like one. Of equal endpoints the first path stands, and raw keys are merged in the order of paths, later ones winning.
     """
     upper = F.upper("key")
     at = F.struct((~upper.isin(*tx.MODEL_KEYS)).alias("x"), "line")
@@ -156,4 +163,4 @@ def endpoints(keys: DataFrame) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_set(F.struct("key", "value")))).alias("raw_keys"),
     )
     found = per.withColumn("provider", F.coalesce("named", "implied")).filter("provider is not null or model is not null or base_url is not null")
-    return found.groupBy("provider", "model", "base_url").agg(F.min("path").alias("path"), F.map_from_entries(F.array_distinct(F.flatten(F.collect_list(F.map_entries("raw_keys"))))).alias("raw_keys"))
+    return found.groupBy("provider", "model", "base_url").agg(F.min("path").alias("path"), F.map_from_entries(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("path", F.map_entries("raw_keys").alias("e")))), lambda x: x["e"]))).alias("raw_keys"))

@@ -16,8 +16,14 @@ def test_signals(spark):
 def test_nodes(spark):
     rows = [("n", "tool", "a", "h", None, "active", '{"x":"1","y":"2"}', ["b"], ["ast"], 0.5, 1), ("n", "tool", "c", "h", "q", "stale", '{"y":"3"}', ["a", "b"], None, None, 2), ("m", "tool", "z", "h", None, "active", "no json", None, [], 1.0, 1)]
     got = {r.id: r for r in merge.merge_nodes(spark.createDataFrame(rows, NODE)).collect()}
-    assert (got["n"].name, got["n"].status, got["n"].confidence, got["n"].capabilities, got["n"].observed_by, got["n"].attributes) == ("c", "stale", 0.5, ["a", "b"], ["ast"], {"x": "1", "y": "3"})
-    assert got["m"].attributes == {} and got["m"].capabilities == []
+    assert (got["n"].name, got["n"].status, got["n"].confidence, got["n"].capabilities, got["n"].observed_by, got["n"].attributes) == ("c", "stale", 0.5, ["a", "b"], ["ast"], '{"x":"1","y":"3"}')
+    assert got["m"].attributes == "{}" and got["m"].capabilities == []
+
+
+def test_attributes_keep_their_types(spark):
+    rows = [("n", "tool", "a", "h", None, "active", '{"n":1,"b":true,"z":null,"o":{"k":[1,2.5]},"s":"1"}', [], [], 0.5, 1), ("n", "tool", "c", "h", "q", "stale", '{"b":false,"q":"a\\"b"}', [], [], 0.1, 2)]
+    (got,) = merge.merge_nodes(spark.createDataFrame(rows, NODE)).collect()
+    assert got.attributes == '{"b":false,"n":1,"o":{"k":[1,2.5]},"q":"a\\"b","s":"1","z":null}'
 
 
 def test_edges(spark):

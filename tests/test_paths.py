@@ -86,7 +86,10 @@ def test_groups_scores_and_weak_pairs(spark):
     assert chain_groups(graph, threshold=0.85).count() == 0 and chain_groups(graph, threshold=0.85, include_weak=True).count() == 1
     scored = score_groups(groups, graph.nodes).collect()[0]
     assert (scored.score, scored.user_writable_source, scored.short_chain) == (3.0, 2, 1)
-    assert prioritise(score_groups(groups, graph.nodes)).collect()[0].priority == "low"
+    assert prioritise(groups, graph.nodes).collect()[0].priority == "low"
+    # What is not scored, not good enough or not among the best stays, without a priority.
+    for limits in ({"max_scored": 0}, {"min_score": 4}, {"max_evaluated": 0}):
+        assert [(r.score, r.priority) for r in prioritise(groups, graph.nodes, **limits).collect()] == [(None if "max_scored" in limits else 3.0, None)]
 
 
 def test_neighbours_and_subgraph(spark):

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from skeinflow.functions import calls, text
@@ -30,6 +31,11 @@ def test_upkeep(spark):
     assert {r.id for r in rows.retained(frame, F.lit("2025-03-01").cast("timestamp"), 30).collect()} == {"b", "c"}
     assert [r[0] for r in frame.orderBy("id").select(rows.shifted(F.col("confidence"), 0.5)).collect()] == [0.6, None, 1.0]
     assert {r.id: r.attributes for r in rows.with_attribute(frame, "k", "2").collect()} == {"a": '{"k":"2"}', "b": '{"k":"2"}', "c": '{"k":"2"}'}
+    typed = frame.filter("id = 'a'")
+    assert [rows.with_attribute(typed, "v", v).first().attributes for v in (F.lit(1), F.lit(True), F.lit(None).cast("int"), F.array(F.lit("q\"")))] == ['{"k":"1","v":1}', '{"k":"1","v":true}', '{"k":"1","v":null}', '{"k":"1","v":["q\\""]}']
+    assert {r.id: r.attributes for r in rows.update_attribute(frame, "b", "x", F.lit(2)).collect()} == {"a": '{"k":"1"}', "b": '{"x":2}', "c": "[]"}
+    with pytest.raises(KeyError):
+        rows.update_attribute(frame, "nobody", "x", "1")
     chains = spark.createDataFrame([("x", "active", ["a"]), ("y", "active", None), ("z", "stale", ["a"])], "id string, status string, chain_nodes array<string>")
     assert [r.id for r in rows.stale_for_node(chains, "a").filter("changed").collect()] == ["x"]
 
@@ -76,12 +82,20 @@ if __name__ == "__main__":
 '''
     found = facts.facts(spark.createDataFrame([("f.py", " Python", bytearray(code)), ("bad.py", "python", bytearray(b"def (")), ("n.py", "python", None)], "path string, language string, content binary"))
     assert {(r.kind, r.name, r.class_name) for r in facts.symbols(found).collect()} == {("class", "X", None), ("method", "m", "X"), ("function", "handler", None)}
-    caps = {r.scope: r.caps for r in facts.symbol_capabilities(found).collect()}
-    assert caps == {"m": ["reads_env", "reads_secrets"], "handler": ["executes_code", "executes_shell", "writes_db", "writes_filesystem"]}
+    caps = {r.name: r.caps for r in facts.symbol_capabilities(found).collect()}
+    assert caps == {"X": ["reads_env", "reads_secrets"], "m": ["reads_env", "reads_secrets"], "handler": ["executes_code", "executes_shell", "writes_db", "writes_filesystem"]}
     assert {(r.kind, r.handler, r.method, r.target) for r in facts.entry_points(found).collect()} == {("http", "handler", "POST", "/p"), ("cli", "<module>", None, None)}
     assert {tuple(r) for r in facts.call_graph(found).collect()} == {("handler", "open"), ("handler", "helper")}
 
 
+def test_capabilities_stay_in_their_class(spark):
+    code = b"class A:\n    def run(self):\n        os.system('x')\nclass B:\n    home = os.getenv('HOME')\n    def run(self):\n        def inner():\n            requests.get(1)\n        return 1\n\xff = 1\n"[:-6]
+    found = facts.facts(spark.createDataFrame([("f.py", "python", bytearray(code + b"# \xff\n"))], "path string, language string, content binary"))
+    got = {(r.name, r.class_name): r.caps for r in facts.definition_capabilities(found).collect()}
+    assert got == {("A", None): ["executes_code", "executes_shell"], ("run", "A"): ["executes_code", "executes_shell"], ("B", None): ["http_egress", "reads_env"], ("run", "B"): ["http_egress"], ("inner", None): ["http_egress"]}
+    assert calls.render_rules(calls.parse_rules()) == calls.RULES
+
+
 def test_places(spark):
     steps = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
     got = closure.closure(spark.createDataFrame([("a",)], "start string"), steps)
@@ -122,10 +136,9 @@ def test_stream_merges_observations(spark, tmp_path):
     from skeinflow.streaming import runtime
 
     stored = runtime.as_edges(spark.createDataFrame([("a", "b", "k", "h", dt.datetime(2025, 1, 1))], runtime.SCHEMA)).drop("seq").withColumn("observed_by", F.array(F.lit("ast")))
-    stored.write.parquet(f"{tmp_path}/store/v=0")
+    runtime.store_edges(stored, f"{tmp_path}/store")
     seen = [("a", "b", "k", "h", dt.datetime(2025, 1, 2)), ("a", "b", "k", "h", dt.datetime(2025, 1, 2)), ("a", "c", "k", "h", dt.datetime(2025, 1, 2)), ("q", "q", "k", "h", dt.datetime(2025, 1, 2))]
     spark.createDataFrame(seen, runtime.SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
     runtime.merge_stream(runtime.observations(spark, f"{tmp_path}/in"), f"{tmp_path}/store", f"{tmp_path}/check").awaitTermination()
-    last = max(int(p.name[2:]) for p in (tmp_path / "store").iterdir())
-    got = {(r.source_id, r.target_id): sorted(r.observed_by) for r in spark.read.parquet(f"{tmp_path}/store/v={last}").collect()}
+    got = {(r.source_id, r.target_id): sorted(r.observed_by) for r in runtime.stored_edges(spark, f"{tmp_path}/store").collect()}
     assert got == {("a", "b"): ["ast", "runtime"], ("a", "c"): ["runtime"]}
