@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import group_sides
+
 
 def by_kind(rows: DataFrame) -> DataFrame:
     """(kind, n), most first."""
@@ -35,6 +37,46 @@ def paths_named(chains: DataFrame, nodes: DataFrame, id: str = "chain_id", colum
     return parts.select("id", F.array_join(F.transform("p", lambda x: x["label"]), " -> ").alias("path"))
 
 
+def groups_section(groups: DataFrame) -> DataFrame:
+    """(part, value, n): how many groups there are and were evaluated, validated ones by verdict and by priority, and the rejected,
+    evaluated ones that are not valid."""
+    verdict, priority = F.lower(F.trim("verdict")), F.lower(F.trim("priority"))
+    marks = F.array(
+        F.struct(F.lit("all").alias("part"), F.lit("groups").alias("value"), F.lit(True).alias("counts")),
+        F.struct(F.lit("all"), F.lit("evaluated"), verdict.isNotNull()),
+        F.struct(F.lit("verdict"), F.coalesce(verdict, F.lit("none")), F.col("validated")),
+        F.struct(F.lit("priority"), F.coalesce(priority, F.lit("none")), F.col("validated")),
+        F.struct(F.lit("all"), F.lit("rejected"), verdict.isNotNull() & ~F.col("validated")),
+    )
+    return groups.select(F.inline(marks)).filter("counts").groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rejected_groups(groups: DataFrame) -> DataFrame:
+    """(id, verdict, validated_kind) of the evaluated groups that are not valid, by id."""
+    return groups.filter("verdict is not null and not validated").select("id", F.lower(F.trim("verdict")).alias("verdict"), F.lower(F.trim("validated_kind")).alias("validated_kind")).orderBy("id")
+
+
+def candidates_shown(chains: DataFrame, nodes: str = "nodes", limit: int = 30) -> DataFrame:
+    """The first ``limit`` rows of ``by_entry``, most chains first, then by entry."""
+    return by_entry(chains, nodes).orderBy(F.col("n").desc(), "entry").limit(limit)
+
+
+def group_paths(groups: DataFrame, chains: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, side, pos, path): the named path of every chain that stored groups name; null where the chain is not there. The paths
+    are those stored with the chains, so groups of weak links keep theirs."""
+    sides = group_sides(groups, chains)
+    named = paths_named(sides.filter("nodes is not null").select(F.col("chain_id").alias("id"), "nodes").dropDuplicates(["id"]), nodes, "id", "nodes")
+    return sides.join(named.withColumnRenamed("id", "chain_id"), "chain_id", "left").select(F.col("group_id").alias("id"), "side", "pos", "path")
+
+
+def group_bundle(groups: DataFrame, paths: DataFrame) -> DataFrame:
+    """(id, json): a group with the named paths of its chains (id, path) as one JSON object."""
+    cells = [groups.select("id", F.lit(side).alias("side"), F.posexplode(f"{side}_chain_ids").alias("pos", "chain")) for side in ("write", "read")]
+    found = cells[0].unionByName(cells[1]).join(paths.select(F.col("id").alias("chain"), "path"), "chain", "left")
+    listed = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("side", "pos", F.col("chain").alias("chain_id"), "path"))).alias("chains"))
+    return groups.join(listed, "id", "left").select("id", F.to_json(F.struct("id", "untrusted_source_id", "score", "priority", "verdict", "validated", "chains")).alias("json"))
+
+
 def latency_statistics(runs: DataFrame) -> DataFrame:
     """(model, n, median, p95, valid_rate, agreement) of benchmark runs (model, latency, valid, agrees).
 

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import tomllib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage
+from . import block_yaml
 
 # What a scan passes by, and what it calls the languages of the files it keeps.
 EXCLUDED_DIRS = (
@@ -62,33 +67,58 @@ def skip_reason(path: Column, size: Column) -> Column:
     )
 
 
+def _listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for pdf in batches:
+        rows = []
+        for uri in pdf["uri"]:
+            system, name, prefix = _system(uri)
+            for f in system.get_file_info(fs.FileSelector(name, recursive=False)):
+                link = uri.startswith("file:") and os.path.islink(f.path)
+                if not link and f.type in (fs.FileType.File, fs.FileType.Directory):
+                    rows.append((prefix + f.path, f.type == fs.FileType.Directory, f.size if f.type == fs.FileType.File else None))
+        yield pd.DataFrame(rows, columns=["uri", "is_dir", "size"])
+
+
+def _system(uri: str):
+    """(file system, its path, what makes it a URI again)."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/"), "file:"
+    system, name = fs.FileSystem.from_uri(uri)
+    return system, name, uri[: len(uri) - len(name)]
+
+
 def _listed(spark: SparkSession, root: str) -> DataFrame:
     """(uri, path, size) of all files under a root, links not followed.
 
     Spark's own file sources pass over names that begin with a dot or an underscore, package initialisers among them, so
-    the tree is listed through the file system's interface; only names and sizes of one source tree reach the driver.
+    directories are listed here: a level of the tree at a time, by the executors, and excluded directories are passed by
+    without a word. Only whether a level is left reaches the driver.
     """
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = system.makeQualified(top).toString().rstrip("/") + "/"
-    rows, files = [], system.listFiles(top, True)
-    while files.hasNext():
-        f = files.next()
-        if f.isFile() and not f.isSymlink():
-            uri = f.getPath().toString()
-            rows.append((uri, uri.removeprefix(base), f.getLen()))
-    return spark.createDataFrame(rows, "uri string, path string, size bigint")
+    uri = root if re.match(r"^[a-z][a-z0-9+.-]*:", root) else "file:" + os.path.abspath(root)
+    base = uri.rstrip("/") + "/"
+    base = "file:/" + base.removeprefix("file:").lstrip("/") if base.startswith("file:") else base
+    level = spark.createDataFrame([(base.rstrip("/"),)], "uri string")
+    found = []
+    relative = F.substring("uri", F.lit(len(base) + 1), F.length("uri"))
+    while True:
+        listed = cut_lineage(level.repartition(F.xxhash64("uri")).mapInPandas(_listing, "uri string, is_dir boolean, size bigint").select("uri", "is_dir", "size", relative.alias("path")))
+        name = F.substring_index("path", "/", -1)
+        pruned = F.col("is_dir") & (name.isin(*EXCLUDED_DIRS) | name.startswith("."))
+        found.append(listed.filter(~F.col("is_dir")).select("uri", "path", "size"))
+        level = listed.filter(F.col("is_dir") & ~pruned).select("uri")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
     for pdf in batches:
         out = []
         for uri in pdf["uri"]:
-            local = uri.startswith("file:")
-            system, name = (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(uri)
+            system, name, _ = _system(uri)
             with system.open_input_file(name) as f:
                 out.append(f.read())
         yield pd.DataFrame({"path": pdf["path"], "language": pdf["language"], "content": out})
@@ -106,6 +136,13 @@ def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return files, named.filter("reason is not null").select("path", "reason")
 
 
+def manifest(files: DataFrame, language: str | None = None) -> DataFrame:
+    """(language, n, bytes) of the files of a manifest, or the files of one language."""
+    if language is not None:
+        return files.filter(F.lower(F.trim("language")) == language)
+    return files.groupBy(F.coalesce(F.lower(F.trim("language")), F.lit("")).alias("language")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
 def _flatten(value, prefix: str, out: list) -> None:
     if isinstance(value, dict):
         for k, v in value.items():
@@ -124,7 +161,7 @@ def _structured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found: list = []
             try:
                 body = bytes(content).decode("utf-8-sig")
-                _flatten(json.loads(body) if lang == "json" else tomllib.loads(body), "", found)
+                _flatten({"json": json.loads, "toml": tomllib.loads, "yaml": block_yaml.load}[lang](body), "", found)
             except (ValueError, RecursionError):
                 found = []
             rows += [(path, i, k, v) for i, (k, v) in enumerate(found)]
@@ -132,16 +169,14 @@ def _structured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def config_keys(files: DataFrame) -> DataFrame:
-    """(path, line, key, value) of endpoint keys in env files, Python constants, flat YAML lines, JSON and TOML files.
+    """(path, line, key, value) of endpoint keys in env files, Python constants, YAML, JSON and TOML files.
 
     Files that do not parse give none. Nested keys are joined by underscores and upper-cased.
     """
-    lines = files.filter("language in ('dotenv', 'python', 'yaml') and content is not null").select("path", "language", F.decode("content", "UTF-8").alias("t"))
-    plain = tx.env_lines(lines.filter("language <> 'yaml'"), "t", "path").select("path", "line", "key", "value")
-    flat = lines.filter("language = 'yaml'").select("path", F.posexplode(F.split("t", r"\r?\n")).alias("line", "l")).filter(r"l rlike '^[A-Za-z_]+:\\s*\\S'")
-    yaml = flat.select("path", "line", F.upper(F.regexp_extract("l", r"^([A-Za-z_]+):", 1)).alias("key"), F.regexp_replace(F.regexp_extract("l", r"^[A-Za-z_]+:\s*(.*?)\s*$", 1), "^([\"'])(.*)\\1$", "$2").alias("value"))
-    nested = files.filter("language in ('json', 'toml') and content is not null").select("path", "language", "content").mapInPandas(_structured, "path string, line int, key string, value string")
-    return plain.unionByName(yaml).unionByName(nested).filter(tx.relevant_key(F.col("key")))
+    lines = files.filter("language in ('dotenv', 'python') and content is not null").select("path", F.decode("content", "UTF-8").alias("t"))
+    plain = tx.env_lines(lines, "t", "path").select("path", "line", "key", "value")
+    nested = files.filter("language in ('json', 'toml', 'yaml') and content is not null").select("path", "language", "content").mapInPandas(_structured, "path string, line int, key string, value string")
+    return plain.unionByName(nested).filter(tx.relevant_key(F.col("key")))
 
 
 def endpoints(keys: DataFrame) -> DataFrame:

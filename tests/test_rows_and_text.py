@@ -127,7 +127,7 @@ def test_scan(spark, tmp_path):
         (tmp_path / name).write_text(body)
     files, skipped = src.scan(spark, f"file:{tmp_path}")
     assert {(r.path, r.language) for r in files.collect()} == {("a/x.py", "python"), ("a/.env", "dotenv"), ("conf.json", "json"), ("a/__init__.py", "python")}
-    assert {r.path: r.reason for r in skipped.collect()} == {"node_modules/y.js": "excluded directory", "z.png": "excluded extension: .png", ".hidden": "hidden file"}
+    assert {r.path: r.reason for r in skipped.collect()} == {"z.png": "excluded extension: .png", ".hidden": "hidden file"}
     ends = src.endpoints(src.config_keys(files)).collect()
     assert {(r.provider, r.model, r.base_url) for r in ends} == {("openai", "m", "u"), (None, "q", None)}
 
