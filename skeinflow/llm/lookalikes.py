@@ -73,6 +73,18 @@ class _Folds(dict):
 
 
 _FOLDS = _Folds()
+
+
+class _Settled(dict):
+    """For each character whether it stays as it is whatever it stands beside, but for composition."""
+
+    def __missing__(self, char: str) -> bool:
+        folded = _FOLDS[ord(char)]
+        self[char] = value = folded == char and not _FOREIGN.search(unicodedata.normalize("NFD", char))
+        return value
+
+
+_SETTLED = _Settled()
 _FOREIGN = re.compile("[\u0370-\u058f\u13a0-\u13ff\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f\uab70-\uabbf\u051a-\u051d]")  # any letter of these scripts
 _CONTROL = re.compile("[\x00-\t\x0b-\x1f\x7f]")
 _TOKEN = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")
@@ -122,6 +134,8 @@ def canonical(text: str) -> tuple[str, int, int]:
         if not _CONTROL.search(text):
             return text, 0, 0
         return text.replace("\r\n", "\n").translate(_FOLDS), 0, 0
+    if all(map(_SETTLED.__getitem__, set(text))):
+        return unicodedata.normalize("NFC", text), 0, 0
     # Letters are compared without their marks; these stand apart while tokens are spelled.
     text = unicodedata.normalize("NFD", text.replace("\r\n", "\n").translate(_FOLDS))
     if not _FOREIGN.search(text):
