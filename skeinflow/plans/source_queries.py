@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import build as b
 from ..operators import facts, stages
+from ..session import cut_lineage
 from .planted import planted
 from .planted_rows import ROWS
 
 
 def _found(spark: SparkSession) -> DataFrame:
-    return facts.facts(planted(spark))
+    return cut_lineage(facts.facts(planted(spark)))
 
 
 def _joined(column: str):

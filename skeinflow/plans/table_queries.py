@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import closure, evaluation, facts, merge, reports, rows
 from ..operators.graph import Graph, stored_edges, stored_graph, stored_nodes
+from ..session import cut_lineage
 from ..tables import latest, table
 from .graph_queries import LATEST, stored_chains
 from .graph_queries import SQL as GRAPH_SQL
@@ -282,8 +283,8 @@ def answers_recovered(spark, folder):
 
 
 def _facts(spark: SparkSession, folder: str) -> DataFrame:
-    files = table(spark, folder, "file_entries").dropDuplicates(["file_id"])
-    return facts.facts(files.select(F.concat_ws("/", "repo", "path").alias("path"), "language", "content"))
+    files = table(spark, folder, "file_entries").select("file_id", F.concat_ws("/", "repo", "path").alias("path"), "language", "content").dropDuplicates(["file_id"])
+    return cut_lineage(facts.facts(files))  # parsed once, whatever is read from it
 
 
 def source_symbols(spark, folder):
