@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import closure, evaluation, facts, merge, reports, rows
+from ..operators import closure, evaluation, facts, merge, reports, rows, symbols
 from ..operators.graph import Graph, stored_edges, stored_graph, stored_nodes
 from ..session import cut_lineage
+from ..sources.files import manifest
 from ..tables import latest, table
 from .graph_queries import LATEST, stored_chains
 from .graph_queries import SQL as GRAPH_SQL
@@ -291,6 +292,15 @@ def source_symbols(spark, folder):
     return facts.symbols(_facts(spark, folder)).drop("ord")
 
 
+def line_symbols(spark, folder):
+    files = table(spark, folder, "file_entries").select("file_id", "language", "content").dropDuplicates(["file_id"])
+    return symbols.line_symbols(files)
+
+
+def manifest_by_language(spark, folder):
+    return manifest(table(spark, folder, "file_entries").select("file_id", "language", "size").dropDuplicates(["file_id"]))
+
+
 def source_entry_points(spark, folder):
     return facts.entry_points(_facts(spark, folder)).drop("ord")
 
@@ -308,7 +318,7 @@ def class_bases(spark, folder):
     return closure.single_bases(classes)
 
 
-QUERIES = {f.__name__: f for f in (upsert_nodes, upsert_edges_identity, upsert_chains, upsert_groups, keep_stronger, write_counts, combine_signals, vote_aggregate, evidence_present, vote_records, reasoning_merged, evaluate_chains, evaluate_groups, guardrails_for_groups, chain_payloads, retention_counts, task_status, update_attribute, marked_active, hosts_heard, upsert_findings, detected_merge, guardrails_for_chain, hop_edges, verdict_summary, verdict_pivot_by_entry, groups_by_priority, list_actionable, severity_summary, findings_stale, mark_stale_for_nodes, cleanup_stale, shifted_confidence, global_flag, global_int_min, task_counters, latency_statistics, reachability_closure, definition_asof, enclosing_definition, intra_file_pairs, module_suffix_match, literal_match, env_lines, answers_recovered, source_symbols, source_entry_points, symbol_capabilities, source_call_graph, class_bases)}
+QUERIES = {f.__name__: f for f in (upsert_nodes, upsert_edges_identity, upsert_chains, upsert_groups, keep_stronger, write_counts, combine_signals, vote_aggregate, evidence_present, vote_records, reasoning_merged, evaluate_chains, evaluate_groups, guardrails_for_groups, chain_payloads, retention_counts, task_status, update_attribute, marked_active, hosts_heard, upsert_findings, detected_merge, guardrails_for_chain, hop_edges, verdict_summary, verdict_pivot_by_entry, groups_by_priority, list_actionable, severity_summary, findings_stale, mark_stale_for_nodes, cleanup_stale, shifted_confidence, global_flag, global_int_min, task_counters, latency_statistics, reachability_closure, definition_asof, enclosing_definition, intra_file_pairs, module_suffix_match, literal_match, env_lines, answers_recovered, source_symbols, line_symbols, manifest_by_language, source_entry_points, symbol_capabilities, source_call_graph, class_bases)}
 
 _V = "with v as (select * from {t} qualify row_number() over (partition by id, updated_at) = 1)"
 _ATTRIBUTES = """, ak as (select id, updated_at, unnest(json_keys(attributes)) k, attributes from v where json_type(attributes) = 'OBJECT'),
@@ -436,3 +446,7 @@ gg as (select chain_id id, string_agg(guardrail_id, '>' order by guardrail_id) g
     + SQL["guardrails_for_chain"]
     + """) group by 1) select c.id, nodes, edges, coalesce(guardrails, '') guardrails from c left join pn on pn.id = c.id left join pe on pe.id = c.id left join gg on gg.id = c.id"""
 )
+SQL["line_symbols"] = "with f as (select distinct file_id, lower(trim(language)) lang, try(decode(content)) t from file_entries), l as (select file_id, lang, unnest(x) l, unnest(range(1, len(x) + 1)) line from (select file_id, lang, string_split_regex(t, '\\r?\\n') x from f where t is not null)) " + " union all ".join(
+    f"select file_id, line::int line, '{kind}' kind, regexp_extract(l, '{pattern}', 1) as name from l where lang = '{language}' and regexp_extract(l, '{pattern}', 1) <> ''" for language, patterns in symbols.PATTERNS.items() for kind, pattern in patterns
+)
+SQL["manifest_by_language"] = "select coalesce(lower(trim(language)), '') as language, count(*) n, sum(size)::bigint bytes from (select distinct file_id, language, size from file_entries) group by 1"
