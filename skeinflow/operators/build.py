@@ -367,8 +367,11 @@ def build(found: DataFrame, endpoints: DataFrame | None = None) -> tuple[DataFra
     store_nodes, store_edges = stages.resolve_stores(found, nodes)
     store_nodes = cut_lineage(store_nodes)
     nodes = cut_lineage(_first_of(nodes.unionByName(store_nodes)))
-    uploads = stages.upload_links(found, nodes)
-    edges = cut_lineage(strongest(reduce(DataFrame.unionByName, [edges, store_edges, uploads, guard_edges(found, nodes)])))
+    uploads = cut_lineage(stages.upload_links(found, nodes))
+    typed, upload_nodes, upload_edges = stages.upload_sources(found, nodes, uploads)
+    nodes = nodes.join(typed.withColumn("_u", F.lit(stages.UPLOADED)), "id", "left").withColumn("detail", F.coalesce("_u", "detail")).select(*NODE)
+    nodes = cut_lineage(_first_of(nodes.unionByName(upload_nodes)))
+    edges = cut_lineage(strongest(reduce(DataFrame.unionByName, [edges, store_edges, uploads, upload_edges, guard_edges(found, nodes)])))
     ids = nodes.select("id")
     real = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     flows = stages.body_attributes(found, nodes)

@@ -272,7 +272,7 @@ def read(path: str, content: bytes) -> list[tuple]:
         visitor.add("file")
         visitor.visit(tree)
         for s in sites.store_sites(tree):
-            visitor.add("site", target=s.family, mode=s.side, text=s.hint, line=s.line)
+            visitor.add("site", target=s.family, mode=s.side, text=s.hint, line=s.line, name=s.target)
         return visitor.rows
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
@@ -382,8 +382,8 @@ def untrusted_reads(found: DataFrame) -> DataFrame:
 
 
 def store_sites(found: DataFrame) -> DataFrame:
-    """(path, family, side, hint, line, ord) of the calls that write to or read from a store."""
-    return found.filter("fact = 'site'").select("path", F.col("target").alias("family"), F.col("mode").alias("side"), F.col("text").alias("hint"), "line", "ord")
+    """(path, family, side, hint, line, target, ord) of the calls that write to or read from a store."""
+    return found.filter("fact = 'site'").select("path", F.col("target").alias("family"), F.col("mode").alias("side"), F.col("text").alias("hint"), "line", F.col("name").alias("target"), "ord")
 
 
 def sink_flows(found: DataFrame) -> DataFrame:

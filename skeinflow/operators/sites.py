@@ -21,6 +21,7 @@ class Site(NamedTuple):
     hint: str | None
     line: int
     column: int
+    target: str | None = None
 
 
 def first_literal(node: ast.AST | None) -> str | None:
@@ -157,7 +158,8 @@ def _tail(node: ast.AST) -> str | None:
 
 
 def _sites(family: str, sides: list[str], hint: str | None, call: ast.Call) -> Iterator[Site]:
-    return (Site(family, side, hint, call.lineno, call.col_offset) for side in sides)
+    target = dotted(call.func) or (call.func.attr if isinstance(call.func, ast.Attribute) else None)
+    return (Site(family, side, hint, call.lineno, call.col_offset, target) for side in sides)
 
 
 FAMILIES: dict[str, Callable[[ast.Module], Iterator[Site]]] = {}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import literal_match, match_modules, server_of_path
-from .build import _first_of, _id, _imported_files, _nodes, edges_of
+from .build import NO_CLASS_SUFFIX, NO_CLASSES, _first_of, _id, _imported_files, _nodes, edges_of
 from .closure import closure
 from .facts import call_graph, local_imports, store_sites, symbols, untrusted_reads
 from .graph import STRUCTURAL_EDGES
@@ -19,6 +19,9 @@ from .merge import combine_signals
 BASE, CATALOGUE_BASE, UPLOAD_BASE, UPLOAD_MODULE_BASE = 0.3, 0.5, 0.5, 0.4
 EQUAL, SAME_FILE, SHARED_IMPORT, ONE_IMPORTS, IN_BODY = 0.6, 0.2, 0.3, 0.1, 0.2
 SURE_UPLOAD = 0.7
+MODEL_BASE = 0.2
+UPLOADED = "user_upload"
+CLIENT_CALLS = ("boto3.client", "boto3.resource", "Storage", "Chroma", "Client", "connect")
 MAX_WRITER_EDGES = 1000
 CATALOGUE, DECLARED_TYPE = "mcp_catalogue", "mcp_tool_description"
 # The capability that writes what a type of source reads.
@@ -251,3 +254,86 @@ def upload_links(found: DataFrame, nodes: DataFrame, threshold: float = SURE_UPL
     signals = F.array_compact(F.array(F.lit(EQUAL), F.when(F.col("w_file") == F.col("file"), SAME_FILE), F.when((F.col("handler") != "<module>") & (F.col("inner") == F.col("handler")), IN_BODY)))
     sure = every.withColumn("sure", combine_signals(F.col("base"), signals)).filter(F.col("sure") >= threshold).withColumn("store", store_id(F.lit("fs"), F.col("hint")))
     return edges_of(sure, "e", "store", "writes_to", "sure")
+
+
+def upload_sources(found: DataFrame, nodes: DataFrame, uploads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(typed ids, nodes, edges): what uploads make of the code around them.
+
+    Untrusted sources without a type in the scope of an upload (its file, and files import-linked to it) are of its type. A
+    reading call in the scope whose hint may mean a store that the upload's entry writes to becomes a source of that type, once per
+    file and call, unless there is one on its line or of its call; it reads from the store, the surer the closer the files are
+    (a client that both import, the same file, one importing the other), and the component around the call has access to it.
+    """
+    linked = _linked(found)
+    entries = upload_entries(found, nodes).select("e", "file").distinct()
+    scope = entries.select("e", "file", F.col("file").alias("path")).unionByName(entries.join(linked.select(F.col("a").alias("file"), F.col("b").alias("path")), "file").select("e", "file", "path")).distinct()
+    old = nodes.filter("kind = 'untrusted_source'")
+    typed = old.filter("detail is null or detail = ''").select("id", F.col("file").alias("path")).join(scope.select("path").distinct(), "path", "left_semi").select("id")
+    stores = uploads.select(F.col("source_id").alias("e"), F.col("target_id").alias("store")).join(nodes.filter("kind = 'store'").select(F.col("id").alias("store"), F.col("parent").alias("key")), "store")
+    sites = store_sites(found).filter("family = 'fs' and side = 'read' and hint is not null and target is not null").select("path", "line", "hint", "target").distinct()
+    on_line = old.select(F.col("file").alias("path"), "line").distinct()
+    of_call = old.select(F.col("file").alias("path"), F.expr("substring(name, length(detail) + 2)").alias("target")).distinct()
+    free = sites.join(on_line, ["path", "line"], "left_anti").join(of_call, ["path", "target"], "left_anti")
+    pairs = free.join(scope, "path").join(stores, "e").withColumn("literal", literal_match(F.col("hint"), F.col("key"))).filter("literal is not null")
+    clients = found.filter(F.col("target").isin(*CLIENT_CALLS) & (F.col("fact") == "assign") & (F.size("owners") == 0)).select(F.col("path").alias("client")).distinct()
+    reach = _imported_files(found).select("file", F.col("other").alias("client")).unionByName(clients.select(F.col("client").alias("file"), "client")).join(clients, "client", "left_semi").distinct()
+    shared = pairs.select("file", "path").distinct().join(reach, "file").join(reach.select(F.col("file").alias("path"), "client"), ["path", "client"]).select("file", "path").distinct().withColumn("shared", F.lit(True))
+    near = F.when(F.col("shared"), SHARED_IMPORT).when(F.col("file") == F.col("path"), SAME_FILE).otherwise(ONE_IMPORTS)
+    sure = pairs.join(shared, ["file", "path"], "left").withColumn("sure", combine_signals(F.lit(BASE), F.array("literal", near))).withColumn("s", _id("untrusted_source", F.lit(UPLOADED), F.col("target"), F.col("path")))
+    first = sure.groupBy("s").agg(F.min_by(F.struct("path", "line", "target", "store", "sure"), F.struct("e", "line", "store")).alias("r")).select("s", "r.*")
+    spans = found.filter("fact in ('function', 'class')").select("path", "name", F.col("line").alias("start"), "line_end", (F.col("fact") == "class").alias("late"))
+    around = first.join(spans, "path").filter("start <= line and line <= line_end").join(named_components(nodes).select(F.col("file").alias("path"), "name", "id"), ["path", "name"])
+    readers = around.groupBy("s").agg(F.min_by("id", F.struct("late", (-F.col("start")).alias("b"))).alias("to"))
+    made = _nodes(first, id=F.col("s"), kind=F.lit("untrusted_source"), name=F.concat_ws(":", F.lit(UPLOADED), "target"), file=F.col("path"), line=F.col("line"), detail=F.lit(UPLOADED), stage=F.lit(8))
+    return typed, made, edges_of(first, "store", "s", "reads_from", "sure").unionByName(edges_of(readers, "s", "to", "has_access_to"))
+
+
+def answered_stores(found: DataFrame, nodes: DataFrame, answers: DataFrame, required: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of sites without a hint for which a model named one: ``answers`` has (path, line, hint).
+
+    Their links are as sure as a model's word alone makes them, nothing is added to it, and say so: they are ``via`` ``llm``. With ``required`` a site
+    in the scope of an upload that has no answer raises ValueError.
+    """
+    scope = upload_entries(found, nodes).select(F.col("file").alias("path")).distinct()
+    scope = scope.unionByName(scope.join(_linked(found).select(F.col("a").alias("path"), F.col("b").alias("other")), "path").select(F.col("other").alias("path"))).distinct()
+    open_ = store_sites(found).filter("family = 'fs' and hint is null").drop("hint").join(scope, "path", "left_semi")
+    named = open_.join(answers.filter("hint is not null and hint <> ''").groupBy("path", "line").agg(F.min("hint").alias("hint")), ["path", "line"], "left")
+    if required and not named.filter("hint is null").isEmpty():
+        raise ValueError("sites are left without a store")
+    links = named.filter("hint is not null").select("path", "family", "side", "line", F.col("hint").alias("key"), F.lit(MODEL_BASE).alias("confidence")).withColumn("store", store_id(F.col("family"), F.col("key")))
+    spans = found.filter("fact = 'function'").select("path", "name", F.col("line").alias("start"), "line_end")
+    around = links.join(spans, "path").filter("start <= line and line <= line_end").join(named_components(nodes).select(F.col("file").alias("path"), "name", "id"), ["path", "name"])
+    holder = around.groupBy("path", "line", "side", "store", "confidence").agg(F.max_by("id", "start").alias("c"))
+    writes = edges_of(holder.filter("side = 'write'"), "c", "store", "writes_to", "confidence", via="llm")
+    sources = nodes.filter("kind = 'untrusted_source'").groupBy(F.col("file").alias("path"), "line").agg(F.min("id").alias("s"))
+    reads = edges_of(links.filter("side = 'read'").join(sources, ["path", "line"]), "store", "s", "reads_from", "confidence", via="llm")
+    return _store(links, F.col("family"), F.col("key")), writes.unionByName(reads)
+
+
+def unclassified(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path, kind, name, class_name, line, has_tool, parent_kind): classes and methods that no rule made a component, but for the
+    excluded names; ``has_tool`` tells a tool decorator, ``parent_kind`` what their class is."""
+    known = nodes.select(F.col("file").alias("path"), "name").distinct()
+    rows = symbols(found).filter("kind in ('class', 'method')")
+    excluded = F.when(F.col("kind") == "class", F.col("name").isin(*NO_CLASSES) | F.col("name").rlike(NO_CLASS_SUFFIX)).otherwise(F.col("name").startswith("_") | (F.col("name").startswith("create_") & F.col("name").endswith("_server")))
+    tools = found.filter((F.col("fact") == "decorator") & (F.substring_index("target", ".", -1) == "tool")).select("path", "name").distinct().withColumn("has_tool", F.lit(True))
+    parents = nodes.groupBy(F.col("file").alias("path"), F.col("name").alias("class_name")).agg(F.min("kind").alias("parent_kind"))
+    left = rows.filter(~excluded).join(known, ["path", "name"], "left_anti")
+    return left.join(tools, ["path", "name"], "left").join(parents, ["path", "class_name"], "left").select("path", "kind", "name", "class_name", "line", F.coalesce("has_tool", F.lit(False)).alias("has_tool"), "parent_kind")
+
+
+def classified_by_model(pending: DataFrame, answers: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, merged): what a model's answers (path, name, answer_kind, capabilities, part_of_parent) make of pending symbols.
+
+    An answer that is part of its parent, or of a kind that agents own while the parent is an agent, adds its capabilities to the
+    parent's node (``merged``: id, capabilities). Others become nodes marked ``llm``; a tool without a decorator below a server
+    directory is marked ``llm:undecorated``. What rules have made stays.
+    """
+    told = pending.join(answers.groupBy("path", "name").agg(F.min(F.struct("answer_kind", "capabilities", "part_of_parent")).alias("a")), ["path", "name"]).select(*pending.columns, "a.*").filter("answer_kind is not null")
+    parents = nodes.groupBy(F.col("file").alias("path"), F.col("name").alias("class_name")).agg(F.min("id").alias("parent_id"))
+    placed = told.join(parents, ["path", "class_name"], "left").withColumn("up", F.col("parent_id").isNotNull() & (F.coalesce("part_of_parent", F.lit(False)) | ((F.col("parent_kind") == "agent") & F.col("answer_kind").isin("agent", "llm_endpoint"))))
+    merged = placed.filter("up").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("capabilities", F.array().cast("array<string>")))))).alias("capabilities"))
+    flag = F.when((F.col("answer_kind") == "tool") & ~F.col("has_tool") & server_of_path(F.col("path")).isNotNull(), "llm:undecorated").otherwise("llm")
+    own = placed.filter("not up")
+    made = _nodes(own, id=_id(F.col("answer_kind"), F.col("path"), F.col("name"), F.col("class_name")), kind=F.col("answer_kind"), name=F.col("name"), file=F.col("path"), capabilities=F.array_sort(F.coalesce("capabilities", F.array().cast("array<string>"))), parent=F.col("class_name"), line=F.col("line"), framework=flag, stage=F.lit(9))
+    return _first_of(made), merged

@@ -95,6 +95,17 @@ def on_send(x):
 if st.button("send"):
     on_send(st.file_uploader("doc"))
 st.button("again")
+''',
+    "app/readers.py": '''from app.web import flask_view
+class Viewer:
+    def render(self):
+        return open("data/flask.bin").read()
+    def refresh(self):
+        return open(self.path)
+def spawn(path):
+    return subprocess.run(open("data/flask.bin").read())
+def stash(x):
+    open(x.path, "w").write(x)
 ''',
     "run.py": '''from app.tools import catalogue
 FACTORY = "app.mcp.servers.mail.server.create_mail_server"

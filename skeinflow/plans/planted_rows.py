@@ -24,6 +24,11 @@ ROWS = {
             ('app/mcp/servers/mail/server.py', 'function', 'fetch_mail', None, 5, 6),
             ('app/mcp/servers/mail/server.py', 'function', 'send_mail', None, 2, 4),
             ('app/page.py', 'function', 'on_send', None, 3, 5),
+            ('app/readers.py', 'class', 'Viewer', None, 2, 6),
+            ('app/readers.py', 'function', 'spawn', None, 7, 8),
+            ('app/readers.py', 'function', 'stash', None, 9, 10),
+            ('app/readers.py', 'method', 'refresh', 'Viewer', 5, 6),
+            ('app/readers.py', 'method', 'render', 'Viewer', 3, 4),
             ('app/tools.py', 'function', 'catalogue', None, 9, 10),
             ('app/tools.py', 'function', 'save', None, 4, 6),
             ('app/tools.py', 'function', 'save_fixed', None, 7, 8),
@@ -65,6 +70,11 @@ ROWS = {
             ('app/mcp/servers/mail/server.py', 'function', 'fetch_mail', None, 'reads_untrusted'),
             ('app/mcp/servers/mail/server.py', 'function', 'send_mail', None, 'writes_email_inbox'),
             ('app/page.py', 'function', 'on_send', None, 'writes_filesystem'),
+            ('app/readers.py', 'class', 'Viewer', None, 'reads_filesystem'),
+            ('app/readers.py', 'function', 'spawn', None, 'executes_code+reads_filesystem'),
+            ('app/readers.py', 'function', 'stash', None, 'writes_filesystem'),
+            ('app/readers.py', 'method', 'refresh', 'Viewer', 'reads_filesystem'),
+            ('app/readers.py', 'method', 'render', 'Viewer', 'reads_filesystem'),
             ('app/tools.py', 'function', 'catalogue', None, 'writes_filesystem'),
             ('app/tools.py', 'function', 'save', None, 'writes_db'),
             ('app/tools.py', 'function', 'save_fixed', None, 'writes_db'),
@@ -96,6 +106,11 @@ ROWS = {
             ('app/mcp/servers/mail/server.py', 'fetch_mail', 'reads_untrusted'),
             ('app/mcp/servers/mail/server.py', 'send_mail', 'writes_email_inbox'),
             ('app/page.py', 'on_send', 'writes_filesystem'),
+            ('app/readers.py', 'Viewer', 'reads_filesystem'),
+            ('app/readers.py', 'refresh', 'reads_filesystem'),
+            ('app/readers.py', 'render', 'reads_filesystem'),
+            ('app/readers.py', 'spawn', 'executes_code+reads_filesystem'),
+            ('app/readers.py', 'stash', 'writes_filesystem'),
             ('app/tools.py', 'catalogue', 'writes_filesystem'),
             ('app/tools.py', 'save', 'writes_db'),
             ('app/tools.py', 'save_fixed', 'writes_db'),
@@ -151,9 +166,13 @@ ROWS = {
             ('on_send', 'save'),
             ('plan', 'check_text'),
             ('read_file', 'open'),
+            ('refresh', 'open'),
+            ('render', 'open'),
             ('search', 'save'),
             ('send_mail', 'save'),
+            ('spawn', 'open'),
             ('start', 'Planner'),
+            ('stash', 'open'),
             ('tools', 'create_mcp_server'),
             ('upload', 'Form'),
             ('upload', 'Planner'),
@@ -175,6 +194,10 @@ ROWS = {
         [
             ('app/agents.py', 'fs', 'read', 'data/tools.json', 25),
             ('app/page.py', 'fs', 'write', 'data/page.txt', 5),
+            ('app/readers.py', 'fs', 'read', 'data/flask.bin', 4),
+            ('app/readers.py', 'fs', 'read', 'data/flask.bin', 8),
+            ('app/readers.py', 'fs', 'read', None, 6),
+            ('app/readers.py', 'fs', 'write', None, 10),
             ('app/tools.py', 'db', 'read', 'notes', 2),
             ('app/tools.py', 'db', 'write', 'notes', 5),
             ('app/tools.py', 'fs', 'write', 'data/tools.json', 10),
@@ -195,11 +218,21 @@ ROWS = {
         [
             ('app/agents.py', 'fs', 'read', 'data/tools.json', 25, 'data/tools.json', 0.748),
             ('app/page.py', 'fs', 'write', 'data/page.txt', 5, 'data/page.txt', 0.72),
+            ('app/readers.py', 'fs', 'read', 'data/flask.bin', 4, 'data/flask.bin', 0.776),
+            ('app/readers.py', 'fs', 'read', 'data/flask.bin', 8, 'data/flask.bin', 0.776),
+            ('app/readers.py', 'fs', 'read', None, 6, 'data/flask.bin', 0.552),
+            ('app/readers.py', 'fs', 'read', None, 6, 'data/page.txt', 0.552),
+            ('app/readers.py', 'fs', 'read', None, 6, 'data/tools.json', 0.552),
+            ('app/readers.py', 'fs', 'read', None, 6, 'data/uploads/', 0.552),
+            ('app/readers.py', 'fs', 'write', None, 10, 'data/flask.bin', 0.552),
+            ('app/readers.py', 'fs', 'write', None, 10, 'data/page.txt', 0.552),
+            ('app/readers.py', 'fs', 'write', None, 10, 'data/tools.json', 0.552),
+            ('app/readers.py', 'fs', 'write', None, 10, 'data/uploads/', 0.552),
             ('app/tools.py', 'db', 'read', 'notes', 2, 'notes', 0.776),
             ('app/tools.py', 'db', 'write', 'notes', 5, 'notes', 0.776),
             ('app/tools.py', 'fs', 'write', 'data/tools.json', 10, 'data/tools.json', 0.748),
-            ('app/web.py', 'fs', 'write', 'data/flask.bin', 18, 'data/flask.bin', 0.72),
-            ('app/web.py', 'fs', 'write', 'data/uploads/', 11, 'data/uploads/', 0.72),
+            ('app/web.py', 'fs', 'write', 'data/flask.bin', 18, 'data/flask.bin', 0.748),
+            ('app/web.py', 'fs', 'write', 'data/uploads/', 11, 'data/uploads/', 0.748),
             ('objects.py', 'db', 'write', 'notes', 14, 'notes', 0.72),
             ('objects.py', 'fs', 'read', 'data/flask.bin', 13, 'data/flask.bin', 0.72),
             ('objects.py', 's3', 'read', 'cold/a', 11, 'cold/a', 0.72),
@@ -229,6 +262,8 @@ ROWS = {
             ('app/agents.py', 'class', 'Base', 'parameter_match', 'method:shell+cmd+literal'),
             ('app/agents.py', 'function', 'shell', 'parameter_match', 'cmd+literal'),
             ('app/page.py', 'function', 'on_send', 'literal_only', 'literal+literal'),
+            ('app/readers.py', 'function', 'spawn', 'parameter_match', 'call'),
+            ('app/readers.py', 'function', 'stash', 'parameter_match', 'x.path+literal'),
             ('app/tools.py', 'function', 'catalogue', 'literal_only', 'literal+literal'),
             ('app/tools.py', 'function', 'save', 'parameter_match', 'commit of parameters'),
             ('app/tools.py', 'function', 'save_fixed', 'literal_only', 'literal'),
@@ -262,6 +297,11 @@ ROWS = {
             ('app/mcp/servers/mail/server.py', 'send_mail', 'sendmail', 4, 'parameter_match', 'data', 'to'),
             ('app/page.py', 'on_send', 'open', 5, 'literal_only', 'control', 'literal+literal'),
             ('app/page.py', 'on_send', 'save', 4, 'parameter_match', 'data', 'x'),
+            ('app/readers.py', 'refresh', 'open', 6, 'unknown', 'control', 'self.path'),
+            ('app/readers.py', 'render', 'open', 4, 'literal_only', 'control', 'literal'),
+            ('app/readers.py', 'spawn', 'open', 8, 'literal_only', 'control', 'literal'),
+            ('app/readers.py', 'spawn', 'run', 8, 'call_result_match', 'data', 'call'),
+            ('app/readers.py', 'stash', 'open', 10, 'unknown', 'control', 'x.path+literal'),
             ('app/tools.py', 'catalogue', 'open', 10, 'literal_only', 'control', 'literal+literal'),
             ('app/tools.py', 'save', 'commit', 6, 'no_args', 'control', ''),
             ('app/tools.py', 'save', 'execute', 5, 'parameter_match', 'data', 'f-string'),
@@ -311,6 +351,7 @@ ROWS = {
             ('app/agents.py', 'Quiet', ''),
             ('app/helper.py', 'Assistant', 'calls_llm'),
             ('app/helper.py', 'Explorer', 'calls_llm+reads_untrusted'),
+            ('app/readers.py', 'Viewer', 'reads_filesystem'),
             ('chain.py', 'Audit', ''),
             ('low.py', 'Host', ''),
             ('srv.py', 'Gate', ''),
@@ -335,6 +376,7 @@ ROWS = {
             ('app/agents.py', 'app/tools.py'),
             ('app/mcp/servers/mail/server.py', 'app/tools.py'),
             ('app/page.py', 'app/tools.py'),
+            ('app/readers.py', 'app/web.py'),
             ('app/web.py', 'app/agents.py+app/helper.py'),
             ('chain.py', 'shared_tools.py'),
             ('run.py', 'app/tools.py'),
@@ -365,6 +407,36 @@ ROWS = {
             ('nemo_guardrails', 'guardrail', 'rails', 'guards.py', None, None, ''),
         ],
     ),
+    "planted_unclassified": (
+        "path varchar, kind varchar, name varchar, class_name varchar, line int, has_tool boolean, parent_kind varchar",
+        [
+            ('app/agents.py', 'class', 'Quiet', None, 16, False, None),
+            ('app/agents.py', 'method', 'plan', 'Planner', 14, False, 'sink'),
+            ('app/agents.py', 'method', 'run', 'Planner', 9, False, 'sink'),
+            ('app/agents.py', 'method', 'run', 'Quiet', 17, False, None),
+            ('app/helper.py', 'method', 'answer', 'Assistant', 3, False, 'agent'),
+            ('app/helper.py', 'method', 'tools', 'Explorer', 6, False, 'agent'),
+            ('app/readers.py', 'class', 'Viewer', None, 2, False, None),
+            ('app/readers.py', 'method', 'refresh', 'Viewer', 5, False, None),
+            ('app/readers.py', 'method', 'render', 'Viewer', 3, False, None),
+            ('low.py', 'class', 'Host', None, 2, False, None),
+        ],
+    ),
+    "planted_model_answers": (
+        "kind varchar, name varchar, file varchar, framework varchar, capabilities varchar",
+        [
+            ('agent', 'Assistant', 'app/helper.py', 'merged', 'calls_llm+reads_env'),
+            ('agent', 'Viewer', 'app/readers.py', 'llm', 'reads_filesystem'),
+            ('tool', 'Quiet', 'app/agents.py', 'llm', 'reads_db'),
+        ],
+    ),
+    "planted_identity_answers": (
+        "name varchar, identity_confidence double, via varchar",
+        [
+            ('fs:data/notes', None, None),
+            ('writes_to', 0.2, 'llm'),
+        ],
+    ),
     "built_nodes": (
         "kind varchar, name varchar, file varchar, parent varchar, framework varchar, detail varchar, capabilities varchar, flow varchar, returns_data boolean, lethal_trifecta boolean",
         [
@@ -407,6 +479,8 @@ ROWS = {
             ('sink', 'save', 'app/tools.py', None, None, None, 'writes_db', 'parameter_match', None, False),
             ('sink', 'save_fixed', 'app/tools.py', None, None, None, 'writes_db', 'literal_only', None, False),
             ('sink', 'shell', 'app/agents.py', 'Base', None, None, 'executes_code+executes_shell', 'parameter_match', None, False),
+            ('sink', 'spawn', 'app/readers.py', None, None, None, 'executes_code+reads_filesystem', 'parameter_match', None, False),
+            ('sink', 'stash', 'app/readers.py', None, None, None, 'writes_filesystem', 'parameter_match', None, False),
             ('store', 'db:notes', None, 'notes', None, 'db', '', None, None, False),
             ('store', 'email_inbox:imap.fetch', None, 'imap.fetch', None, 'email_inbox', '', None, None, False),
             ('store', 'fs:data/flask.bin', None, 'data/flask.bin', None, 'fs', '', None, None, False),
@@ -432,6 +506,7 @@ ROWS = {
             ('untrusted_source', 'mcp_tool_description:client.list_tools', 'app/agents.py', 'listing', None, 'mcp_tool_description', '', None, None, False),
             ('untrusted_source', 'mcp_tool_description:client.list_tools', 'app/helper.py', 'tools', None, 'mcp_tool_description', '', None, None, False),
             ('untrusted_source', 'rag_corpus:collection.query', 'app/agents.py', 'run', None, 'rag_corpus', '', None, None, False),
+            ('untrusted_source', 'user_upload:open', 'app/readers.py', None, None, 'user_upload', '', None, None, False),
         ],
     ),
     "built_edges": (
@@ -465,11 +540,16 @@ ROWS = {
             ('mcp_server:mail', 'provides_tool', 'tool:send_mail', 'control', None, None),
             ('mcp_server:mail', 'writes_to', 'store:mcp_catalogue:mail', 'structural', 0.8, None),
             ('sink:catalogue', 'writes_to', 'store:fs:data/tools.json', 'structural', 0.748, None),
-            ('sink:flask_view', 'writes_to', 'store:fs:data/flask.bin', 'structural', 0.72, None),
-            ('sink:keep', 'writes_to', 'store:fs:data/uploads/', 'structural', 0.72, None),
+            ('sink:flask_view', 'writes_to', 'store:fs:data/flask.bin', 'structural', 0.748, None),
+            ('sink:keep', 'writes_to', 'store:fs:data/uploads/', 'structural', 0.748, None),
             ('sink:on_send', 'writes_to', 'store:fs:data/page.txt', 'structural', 0.72, None),
             ('sink:save', 'writes_to', 'store:db:notes', 'structural', 0.776, None),
+            ('sink:stash', 'writes_to', 'store:fs:data/flask.bin', 'structural', 0.552, None),
+            ('sink:stash', 'writes_to', 'store:fs:data/page.txt', 'structural', 0.552, None),
+            ('sink:stash', 'writes_to', 'store:fs:data/tools.json', 'structural', 0.552, None),
+            ('sink:stash', 'writes_to', 'store:fs:data/uploads/', 'structural', 0.552, None),
             ('store:email_inbox:imap.fetch', 'reads_from', 'untrusted_source:email_inbox:imap.fetch', 'structural', 0.776, None),
+            ('store:fs:data/flask.bin', 'reads_from', 'untrusted_source:user_upload:open', 'structural', 0.748, None),
             ('store:fs:data/tools.json', 'reads_from', 'untrusted_source:mcp_tool_description:client.list_tools', 'structural', 0.748, None),
             ('store:mcp_catalogue:mail', 'reads_from', 'untrusted_source:mcp_tool_description:client.list_tools', 'structural', 0.8, None),
             ('store:mcp_catalogue:mail', 'reads_from', 'untrusted_source:mcp_tool_description:client.list_tools', 'structural', 0.8, None),

@@ -91,6 +91,31 @@ def planted_components(spark, folder):
     return b.framework_nodes(found, facts.definition_capabilities(found)).select("framework", "kind", "name", "file", "parent", "detail", _joined("capabilities"))
 
 
+def planted_unclassified(spark, folder):
+    found = _found(spark)
+    nodes, _ = b.build(found)
+    return stages.unclassified(found, nodes)
+
+
+def planted_model_answers(spark, folder):
+    """Nodes and merged capabilities by a table of answers."""
+    found = _found(spark)
+    nodes, _ = b.build(found)
+    answers = spark.createDataFrame([("app/readers.py", "Viewer", "agent", ["reads_filesystem"], False), ("app/agents.py", "Quiet", "tool", ["reads_db"], False), ("app/helper.py", "answer", "agent", ["calls_llm", "reads_env"], False)], "path string, name string, answer_kind string, capabilities array<string>, part_of_parent boolean")
+    made, merged = stages.classified_by_model(stages.unclassified(found, nodes), answers, nodes)
+    ends = nodes.select("id", "kind", "name", "file")
+    return made.select("kind", "name", "file", "framework", _joined("capabilities")).unionByName(merged.join(ends, "id").select("kind", "name", "file", F.lit("merged").alias("framework"), _joined("capabilities")))
+
+
+def planted_identity_answers(spark, folder):
+    """Stores that a model named for sites without a hint, and the links of the components around them."""
+    found = _found(spark)
+    viewer = b.entry_nodes(found).limit(1).select(*[F.lit(v).cast(t).alias(c) for c, t, v in (("id", "string", "tool:refresh"), ("kind", "string", "tool"), ("name", "string", "stash"), ("file", "string", "app/readers.py"), ("capabilities", "array<string>", None), ("parent", "string", None), ("line", "int", 9), ("framework", "string", None), ("detail", "string", None), ("stage", "int", 2))])
+    answers = spark.createDataFrame([("app/readers.py", 6, "data/notes"), ("app/readers.py", 10, "data/notes"), ("srv.py", 9, "out of scope")], "path string, line int, hint string")
+    stores, edges = stages.answered_stores(found, b.entry_nodes(found).unionByName(viewer), answers)
+    return stores.select("name", F.lit(None).cast("double").alias("identity_confidence"), F.lit(None).cast("string").alias("via")).unionByName(edges.select("kind", F.round("identity_confidence", 9).alias("identity_confidence"), "via").withColumnRenamed("kind", "name"))
+
+
 def _built(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return b.build(_found(spark))
 
@@ -106,7 +131,7 @@ def built_edges(spark, folder):
     return edges.join(ends.select(F.col("id").alias("source_id"), F.col("label").alias("source")), "source_id").join(ends.select(F.col("id").alias("target_id"), F.col("label").alias("target")), "target_id").select("source", "kind", "target", "flow_kind", F.round("identity_confidence", 9).alias("identity_confidence"), "via")
 
 
-QUERIES = {f.__name__: f for f in (planted_symbols, planted_capabilities, planted_symbol_lookup, planted_module_capabilities, planted_entries, planted_call_graph, planted_untrusted_reads, planted_store_sites, planted_store_links, planted_sink_flows, planted_call_flows, planted_inheritance, planted_guardrail_capability, planted_server_usages, planted_local_imports, planted_components, built_nodes, built_edges)}
+QUERIES = {f.__name__: f for f in (planted_symbols, planted_capabilities, planted_symbol_lookup, planted_module_capabilities, planted_entries, planted_call_graph, planted_untrusted_reads, planted_store_sites, planted_store_links, planted_sink_flows, planted_call_flows, planted_inheritance, planted_guardrail_capability, planted_server_usages, planted_local_imports, planted_components, planted_unclassified, planted_model_answers, planted_identity_answers, built_nodes, built_edges)}
 
 
 def _value(v) -> str:
