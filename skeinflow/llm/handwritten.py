@@ -1,7 +1,7 @@
 """Files that nobody of the repository wrote by hand, by a linear support-vector classifier.
 
 The classifier sees a file through four sets of hashed features: character n-grams of its whole text, character n-grams of
-its notices (comments at its head and its end, the repository's own name masked), path components with the language, and its
+its comments (all of them, the repository's own name masked), path components with the language, and its
 shape (size, line lengths, shares of blanks, digits and code words). No list and no rule has a say when a file is scored.
 
 Giveaways, the notices, names and shapes by which people recognise such files, label the rows of the training sample and do
@@ -29,8 +29,8 @@ from .validity import language_of
 #: Bits of the hashed feature space.
 BITS = 18
 #: The most files that a classifier is trained on.
-MAX_ROWS = 6000
-#: The value of an n-gram of a notice, and of a component of the path.
+MAX_ROWS = 8000
+#: The value of an n-gram of a comment, and of a component of the path.
 NOTICE, COMPONENT = 0.2, 0.9
 # Programming languages in which a file of mere data is no source.
 PROGRAMMING = frozenset("python javascript typescript go java rust kotlin scala ruby php csharp swift c cpp shell".split())
@@ -126,6 +126,32 @@ def _stated(lines: list[str]) -> list[str]:
     return out
 
 
+def comments(text: str) -> str:
+    """All comments and doc strings of a text, wherever they stand, but for what other texts in it hold."""
+    out, inside, word, quoted = [], "", "", ""
+    for line in text.split("\n"):
+        bare = line.strip()
+        if word:
+            word = "" if bare == word else word
+        elif quoted:
+            out.append(bare)
+            quoted = "" if quoted in bare else quoted
+        elif inside:
+            inside = "" if line.count(inside) % 2 else inside
+        elif bare[:3] in ('"""', "'''"):
+            out.append(bare)
+            quoted = bare[:3] if bare[:3] not in bare[3:] else ""
+        elif _COMMENT.match(line):
+            out.append(bare)
+            quoted = "*/" if bare[:2] == "/*" and "*/" not in bare else ""
+        else:
+            if "`" in line or '"""' in line or "'''" in line:
+                inside = next((m.group(1) for m in _QUOTED.finditer(line) if m.group(1)), "")
+            if "<<" in line and (m := _HERE.search(line)):
+                word = m.group(2)
+    return "\n".join(out)
+
+
 def mere_data(lang: str, text: str) -> bool:
     """Whether a text of a programming language holds literals and next to nothing else."""
     if lang not in PROGRAMMING or len(text) < 600:
@@ -210,7 +236,7 @@ def _without_own(text: str, repo: str) -> str:
 
 
 def features(repo: str, path: str, lang: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, values): the n-grams of the text have length one together, as have those of its shape; an n-gram of a notice
+    """(slots, values): the n-grams of the text have length one together, as have those of its shape; an n-gram of a comment
     and a component of the path weigh the same however many there are, so a short notice is not lost in long comments."""
     slots, values = [], []
 
@@ -221,7 +247,7 @@ def features(repo: str, path: str, lang: str, text: str) -> tuple[np.ndarray, np
 
     data = text.encode("utf-8", "replace")
     add(np.concatenate([_grams(data, 4, 1), _grams(data, 6, 2)]))
-    add(_word_grams(_without_own(notices(text), repo)), NOTICE)
+    add(_word_grams(_without_own(comments(text), repo)), NOTICE)
     parts = [p for p in re.split(r"/", path.lower()) if p]
     names = {f"dir:{p}" for p in parts[:-1]} | {f"name:{w}" for w in re.split(r"[^a-z]+", parts[-1] if parts else "") if w} | {f"pair:{a}/{b}" for a, b in zip(["", *parts[:-1]], parts[:-1])}
     add([_slot(x) for x in sorted(names | {f"lang:{lang}"})], COMPONENT)

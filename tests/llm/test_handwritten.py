@@ -87,3 +87,10 @@ def test_notices_below_a_long_licence():
         assert h.giveaways("r", "a.go", "go", text) == set()
     assert h.giveaways("r", "a.sh", "shell", "x=1\n" * 30 + "cat <<EOF\n# @generated\nEOF\n" + "y=1\n" * 30) == set()
     assert h.giveaways("r", "a.js", "javascript", "a();\n" * 100 + "/*! tinylib v1.2 | MIT */\n" + "b();\n") == {"holder"}
+
+
+def test_comments_are_read_to_the_end_of_the_file():
+    code = "x = 1\n" * 200
+    text = '"""Doc\nof the file."""\n' + code + "# below\nT = '''\n# @generated elsewhere\n'''\n/* two\nlines */\n" + code + "// last\n"
+    assert h.comments(text).split("\n") == ['"""Doc', 'of the file."""', "# below", "/* two", "lines */", "// last"]
+    assert h.comments("cat <<EOF\n# no\nEOF\n# yes\n") == "# yes" and h.comments("") == ""
