@@ -35,13 +35,18 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str = TOKENIZER):
     """The tokenizer of a rank file."""
+    with open(path, "rb") as f:
+        return _encoding(f.read())
+
+
+@lru_cache(maxsize=2)
+def _encoding(ranked: bytes):
+    """The tokenizer of what a rank file holds."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranked.splitlines())}
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -68,9 +73,9 @@ def cuts(text: str, tokens: list[int], lengths: list[int], capacity: int) -> lis
     return pieces
 
 
-def _sizer(capacities: dict, path: str, frequent: tuple[np.ndarray, np.ndarray], similarity: float):
+def _sizer(capacities: dict, ranked, frequent: tuple[np.ndarray, np.ndarray], similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = tokenizer(path)
+        encoding = _encoding(ranked.value)
         for pdf in batches:
             rows = []
             for doc, text, source in zip(pdf["doc_id"], pdf["text"], pdf["source"]):
@@ -171,7 +176,9 @@ def pack(documents: DataFrame, budgets: DataFrame, doc: str = "doc_id", text: st
     if not capacities:
         return documents.sparkSession.createDataFrame([], f"budget_id {budget_type}, container bigint, doc_id {id_type}, piece int, start int, end int, n_tokens int")
     rows = documents.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.xxhash64(F.col(source)), F.lit(0)).alias("source"))
-    sizer = _sizer(capacities, path, frequent_codes(rows), similarity)
+    with open(path, "rb") as f:
+        ranked = documents.sparkSession.sparkContext.broadcast(f.read())  # the file is the driver's; executors need none
+    sizer = _sizer(capacities, ranked, frequent_codes(rows), similarity)
     sized = cut_lineage(rows.mapInPandas(sizer, f"budget_id {budget_type}, capacity bigint, doc_id {id_type}, source bigint, cluster bigint, piece int, start int, end int, n_tokens int, n_codes int, prefix array<bigint>"))
     pieces = sized.drop("n_codes", "prefix")
     near = near_clusters(sized.filter("prefix is not null").select("doc_id", "cluster", "n_codes", "prefix"), rows.select("doc_id", "text"), similarity)
