@@ -183,17 +183,19 @@ def consensus(items: DataFrame, votes: str, panel: Panel) -> DataFrame:
     """``items`` with ``consensus`` (true: yes), ``probability`` of it and ``agreement``.
 
     ``agreement`` is the share of the item's voters that gave the consensus answer. An item without answers, or with
-    exactly balanced support, has the consensus null; the agreement is then null as well.
+    exactly balanced support, has the consensus null; the agreement is then null as well. Columns that ``items`` has of these
+    three names are replaced.
     """
+    row, odd = ("_" * max(map(len, items.columns)) + x for x in ("_row", "_odds"))  # longer than any column's name
     if panel.table is None:
         odds = _log_odds(_codes(votes, panel.voters), [v.support(answer) for v in panel.voters for answer in (0, 1)]) if panel.voters else F.lit(0.0)
-        rows = items.withColumn("_odds", odds)
+        rows = items.withColumn(odd, odds)
     else:
-        numbered = cut_lineage(items.withColumn("_row", F.monotonically_increasing_id()))
-        cells = numbered.select(F.col("_row").alias("row"), F.explode(votes).alias("v")).select("row", "v.voter", "v.yes")
-        sums = _supported(cells, panel.table).groupBy("row").agg(F.sum("support").alias("_odds"))
-        rows = numbered.join(sums, F.col("_row") == F.col("row"), "left").withColumn("_odds", F.coalesce("_odds", F.lit(0.0)))
-    odds = F.col("_odds")
+        numbered = cut_lineage(items.withColumn(row, F.monotonically_increasing_id()))
+        cells = numbered.select(F.col(row).alias("row"), F.explode(votes).alias("v")).select("row", "v.voter", "v.yes")
+        sums = _supported(cells, panel.table).groupBy("row").agg(F.sum("support").alias(odd)).withColumnRenamed("row", row)
+        rows = numbered.join(sums, row, "left").withColumn(odd, F.coalesce(odd, F.lit(0.0)))
+    odds = F.col(odd)
     yes = F.when((F.size(votes) > 0) & (F.abs(odds) > 1e-12), odds > 0)
     same = F.size(F.filter(F.col(votes), lambda v: v["yes"] == (odds > 0)))
-    return rows.select(*items.columns, yes.alias("consensus"), F.when(yes.isNotNull(), _probability(F.abs(odds))).alias("probability"), F.when(yes.isNotNull(), same / F.size(votes)).alias("agreement"))
+    return rows.select(*[c for c in items.columns if c not in ("consensus", "probability", "agreement")], yes.alias("consensus"), F.when(yes.isNotNull(), _probability(F.abs(odds))).alias("probability"), F.when(yes.isNotNull(), same / F.size(votes)).alias("agreement"))

@@ -25,12 +25,13 @@ def top_n(rows: DataFrame, group: str, score: str, ties: list[Column], n: int =
     if n < 1:
         raise ValueError("n must be at least 1")
     names = rows.columns
-    own, place, key, bound = (f"_{x}_{'_'.join(names)}"[:200] for x in ("part", "place", "key", "bound"))
+    # Longer than any column's name, so none of them is one.
+    own, place, key, bound, of = (f"_{x}_" + "_" * max(map(len, names)) for x in ("part", "place", "key", "bound", "group"))
     usable = rows.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     usable = usable.withColumn(own, F.col(part) if part else F.spark_partition_id()).withColumn(key, F.struct((F.lit(0) - F.col(score)).alias("s"), *[t.alias(f"t{i}") for i, t in enumerate(ties)]))
     local = usable.withColumn(place, F.row_number().over(Window.partitionBy(own, group).orderBy(key))).filter(F.col(place) <= n)
-    bounds = local.filter(F.col(place) == n).groupBy(F.col(group).alias("_g")).agg(F.min(key).alias(bound))
-    kept = local.join(bounds, F.col(group).eqNullSafe(F.col("_g")), "left").filter(F.col(bound).isNull() | (F.col(key) <= F.col(bound)))
+    bounds = local.filter(F.col(place) == n).groupBy(F.col(group).alias(of)).agg(F.min(key).alias(bound))
+    kept = local.join(bounds, F.col(group).eqNullSafe(F.col(of)), "left").filter(F.col(bound).isNull() | (F.col(key) <= F.col(bound)))
     ranked = kept.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(key))).filter(F.col(place) <= n)
     return ranked.select(*names)
 

@@ -20,6 +20,8 @@ def test_top_n_against_sorting(spark):
             want[g].append(i)
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if v}
     assert top_n(frame.limit(0), "grp", "score", [], 2).count() == 0
+    clashing = frame.withColumn("_group_", F.lit("x")).withColumn("_part_", F.lit(1)).withColumn("_place_________", F.lit(None).cast("string")).withColumn("_key_", F.lit(2))
+    assert sorted(r.id for r in top_n(clashing, "grp", "score", [F.col("id")], 4).collect()) == sorted(r.id for r in top_n(frame, "grp", "score", [F.col("id")], 4).collect())
     zeros = spark.createDataFrame([("a", 0.0), ("b", -0.0), ("c", 0.0)], "id string, score double").withColumn("g", F.lit(1))
     assert [r.id for r in top_n(zeros, "g", "score", [F.col("id")], 2).orderBy("id").collect()] == ["a", "b"]
 
@@ -75,3 +77,6 @@ def test_a_long_panel_is_fitted_alike(spark):
     assert long.table is not None and a == b
     x, y = ({r.id: (r.consensus, r.agreement, r.probability and round(r.probability, 6)) for r in c.consensus(items, "votes", p).collect()} for p in (short, long))
     assert x == y and len(x) == 300
+    clashing = items.withColumn("row", F.lit(1)).withColumn("_odds", F.lit("x")).withColumn("consensus", F.lit("old")).withColumn("_row", F.lit(None).cast("int"))
+    for p in (short, long):
+        assert {r.id: r.consensus for r in c.consensus(clashing, "votes", p).collect()} == {i: v[0] for i, v in x.items()}
