@@ -134,7 +134,7 @@ def hosts_heard(spark, folder):
     events = table(spark, folder, "events")
     hosts = events.select(F.col("user_id").cast("string").alias("id")).distinct().select("id", F.lit("standalone").alias("platform"), F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("last_heartbeat"))
     heard = rows.heartbeat(hosts, events.filter("event_type = 'view'").select(F.col("user_id").cast("string").alias("host_id"), F.col("ts").alias("at")))
-    last = rows.unreachable(heard, events.agg(F.max("ts")).first()[0] and F.lit("2100-01-01").cast("timestamp"))
+    last = rows.unreachable(heard, F.lit("2100-01-01").cast("timestamp"))
     return last.select("id", "platform", "status", F.unix_micros("last_heartbeat").alias("heard"))
 
 
