@@ -170,17 +170,18 @@ def attached(sites: DataFrame) -> DataFrame:
     """Every site with each key (hint of its family) it may mean, and how surely: the same, one that begins like it, or, where
     a site has no hint, any key of the family.
 
-    Prefixes are met by equality of every beginning of a hint with a key, so no site is compared to keys that differ from it.
+    Prefixes are met by equality: a hint is cut to the lengths that keys of its family have, and a key to those of hints, so no
+    site is compared to keys that differ from it.
     """
     keys = sites.filter("hint is not null").select("family", F.col("hint").alias("key")).distinct()
     hinted = sites.filter("hint is not null")
+    lengths = keys.select("family", F.length("key").alias("n")).distinct()
 
-    def beginnings(column: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.length(column)), lambda n: F.substring(column, F.lit(1), n))
+    def cut(rows: DataFrame, column: str, to: str) -> DataFrame:
+        return rows.join(lengths, "family").filter(F.col("n") <= F.length(column)).withColumn(to, F.substring(column, F.lit(1), F.col("n"))).drop("n")
 
-    # Empty beginnings match everything, as an empty hint begins every key.
-    down = hinted.withColumn("key", F.explode(F.array_distinct(beginnings("hint")))).join(keys, ["family", "key"])
-    up = hinted.join(keys.withColumn("hint", F.explode(F.array_distinct(beginnings("key")))), ["family", "hint"])
+    down = cut(hinted, "hint", "key").join(keys, ["family", "key"])
+    up = hinted.join(cut(keys, "key", "hint"), ["family", "hint"])
     free = sites.filter("hint is null").join(keys, "family")
     columns = [*sites.columns, "key"]
     every = reduce(DataFrame.unionByName, [x.select(*columns) for x in (down, up, free)]).distinct()

@@ -301,10 +301,6 @@ def manifest_by_language(spark, folder):
     return manifest(table(spark, folder, "file_entries").select("file_id", "language", "size").dropDuplicates(["file_id"]))
 
 
-def source_entry_points(spark, folder):
-    return facts.entry_points(_facts(spark, folder)).drop("ord")
-
-
 def symbol_capabilities(spark, folder):
     return facts.symbol_capabilities(_facts(spark, folder)).select("path", "name", F.array_join("caps", "+").alias("caps"))
 
@@ -318,7 +314,7 @@ def class_bases(spark, folder):
     return closure.single_bases(classes)
 
 
-QUERIES = {f.__name__: f for f in (upsert_nodes, upsert_edges_identity, upsert_chains, upsert_groups, keep_stronger, write_counts, combine_signals, vote_aggregate, evidence_present, vote_records, reasoning_merged, evaluate_chains, evaluate_groups, guardrails_for_groups, chain_payloads, retention_counts, task_status, update_attribute, marked_active, hosts_heard, upsert_findings, detected_merge, guardrails_for_chain, hop_edges, verdict_summary, verdict_pivot_by_entry, groups_by_priority, list_actionable, severity_summary, findings_stale, mark_stale_for_nodes, cleanup_stale, shifted_confidence, global_flag, global_int_min, task_counters, latency_statistics, reachability_closure, definition_asof, enclosing_definition, intra_file_pairs, module_suffix_match, literal_match, env_lines, answers_recovered, source_symbols, line_symbols, manifest_by_language, source_entry_points, symbol_capabilities, source_call_graph, class_bases)}
+QUERIES = {f.__name__: f for f in (upsert_nodes, upsert_edges_identity, upsert_chains, upsert_groups, keep_stronger, write_counts, combine_signals, vote_aggregate, evidence_present, vote_records, reasoning_merged, evaluate_chains, evaluate_groups, guardrails_for_groups, chain_payloads, retention_counts, task_status, update_attribute, marked_active, hosts_heard, upsert_findings, detected_merge, guardrails_for_chain, hop_edges, verdict_summary, verdict_pivot_by_entry, groups_by_priority, list_actionable, severity_summary, findings_stale, mark_stale_for_nodes, cleanup_stale, shifted_confidence, global_flag, global_int_min, task_counters, latency_statistics, reachability_closure, definition_asof, enclosing_definition, intra_file_pairs, module_suffix_match, literal_match, env_lines, answers_recovered, source_symbols, line_symbols, manifest_by_language, symbol_capabilities, source_call_graph, class_bases)}
 
 _V = "with v as (select * from {t} qualify row_number() over (partition by id, updated_at) = 1)"
 _ATTRIBUTES = """, ak as (select id, updated_at, unnest(json_keys(attributes)) k, attributes from v where json_type(attributes) = 'OBJECT'),
@@ -450,3 +446,5 @@ SQL["line_symbols"] = "with f as (select distinct file_id, lower(trim(language))
     f"select file_id, line::int line, '{kind}' kind, regexp_extract(l, '{pattern}', 1) as name from l where lang = '{language}' and regexp_extract(l, '{pattern}', 1) <> ''" for language, patterns in symbols.PATTERNS.items() for kind, pattern in patterns
 )
 SQL["manifest_by_language"] = "select coalesce(lower(trim(language)), '') as language, count(*) n, sum(size)::bigint bytes from (select distinct file_id, language, size from file_entries) group by 1"
+SQL["answers_recovered"] = r"""with b as (select doc_id, trim(regexp_replace(regexp_replace(trim(text), '^```[a-zA-Z]*\s*', ''), '\s*```$', '')) bare, nullif(regexp_extract(text, '(?s)\{.*\}'), '') braces from documents where text is not null),
+j as (select doc_id, case when starts_with(bare, '{') and json_valid('[' || bare || ']') then bare when json_valid('[' || braces || ']') then braces end json from b) select * from j where json is not null"""
