@@ -93,7 +93,7 @@ def broken_files(files: DataFrame, file: str = "file_id", path: str = "path", la
     while most > 1:
         maps = maps.groupBy("file_id", F.floor(F.col("no") / FAN_IN).alias("_step")).applyInPandas(_combine, f"file_id {id_type}, no int, map string")
         most = -(-most // FAN_IN)
-    whole = maps.select("file_id", _balanced("map").alias("balanced"))
+    whole = cut_lineage(maps.select("file_id", _balanced("map").alias("balanced")))  # read twice
     parsed = chunked.join(whole.filter("balanced"), "file_id", "left_semi").groupBy("file_id").applyInPandas(_parse, f"file_id {id_type}, bad boolean")
     unbalanced = whole.filter("not balanced").select("file_id", F.lit(True).alias("bad"))
     return single.unionByName(parsed).unionByName(unbalanced).groupBy("file_id").agg(F.max("bad").alias("bad"))
