@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import closure, evaluation, facts, merge, reports, rows, symbols
 from ..operators.graph import Graph, stored_edges, stored_graph, stored_nodes
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from ..sources.files import manifest
 from ..tables import latest, table
 from .graph_queries import LATEST, stored_chains
@@ -284,8 +284,9 @@ def answers_recovered(spark, folder):
 
 
 def _facts(spark: SparkSession, folder: str) -> DataFrame:
-    files = table(spark, folder, "file_entries").select("file_id", F.concat_ws("/", "repo", "path").alias("path"), "language", "content").dropDuplicates(["file_id"])
-    return cut_lineage(facts.facts(files))  # parsed once, whatever is read from it
+    files = table(spark, folder, "file_entries").select(F.concat_ws("/", "repo", "path").alias("path"), "language", "content")
+    # Parsed once, whatever is read from it; rows that were delivered again give the same facts.
+    return cut_lineage(facts.facts(spread(files)).dropDuplicates(["path", "ord"]))
 
 
 def source_symbols(spark, folder):

@@ -39,3 +39,10 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
             folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint(eager)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan for a step that works hard on each: a table in fewer pieces than there are cores is dealt out to all of
+    them, any other one stays where it is read. ``rows`` must not need an exchange to be made."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n)
