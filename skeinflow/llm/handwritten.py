@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .validity import language_of
 
 #: Bits of the hashed feature space.
@@ -394,5 +395,5 @@ def not_handwritten(files: DataFrame, model: tuple[np.ndarray, float, str] | Non
             yield pd.DataFrame(rows, columns=["file_id", "score", "other"])
 
     id_type = files.schema["file_id"].dataType.simpleString()
-    scored = _rows(files).mapInPandas(score, f"file_id {id_type}, score double, other boolean")
+    scored = spread(_rows(files)).mapInPandas(score, f"file_id {id_type}, score double, other boolean")
     return scored.groupBy("file_id").agg(F.max("score").alias("score"), F.max("other").alias("other"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .lookalikes import look_key_column
 
 
 def look_classes(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, look, stored) of every document with a non-empty text: keys of its consistent form and of its stored text."""
     rows = documents.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(id).alias("doc_id"), F.col(text).alias("_t"))
-    return rows.select("doc_id", look_key_column(F.col("_t")).alias("look"), F.md5("_t").alias("stored"))
+    return spread(rows).select("doc_id", look_key_column(F.col("_t")).alias("look"), F.md5("_t").alias("stored"))
 
 
 def _spellings(classes: DataFrame, per_part: int) -> DataFrame:

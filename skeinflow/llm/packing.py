@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .leaks import shingles, words_of
 from .near_copies import frequent_codes, near_clusters, prefix_of, word_cluster
 
@@ -179,15 +179,15 @@ def pack(documents: DataFrame, budgets: DataFrame, doc: str = "doc_id", text: st
     with open(path, "rb") as f:
         ranked = documents.sparkSession.sparkContext.broadcast(f.read())  # the file is the driver's; executors need none
     sizer = _sizer(capacities, ranked, frequent_codes(rows), similarity)
-    sized = cut_lineage(rows.mapInPandas(sizer, f"budget_id {budget_type}, capacity bigint, doc_id {id_type}, source bigint, cluster bigint, piece int, start int, end int, n_tokens int, n_codes int, prefix array<bigint>"))
+    sized = cut_lineage(spread(rows).mapInPandas(sizer, f"budget_id {budget_type}, capacity bigint, doc_id {id_type}, source bigint, cluster bigint, piece int, start int, end int, n_tokens int, n_codes int, prefix array<bigint>"))
     pieces = sized.drop("n_codes", "prefix")
     near = near_clusters(sized.filter("prefix is not null").select("doc_id", "cluster", "n_codes", "prefix"), rows.select("doc_id", "text"), similarity)
     if near is not None:
         pieces = pieces.join(near, "cluster", "left").withColumn("cluster", F.coalesce("near", "cluster")).drop("near")
     most = pieces.groupBy("budget_id").count().agg(F.max("count")).first()[0] or 0
     blocks = max(1, -(-most // block_items))
-    spread = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(blocks)).cast("int"))
-    packed = cut_lineage(spread.groupBy("budget_id", "block").applyInPandas(lambda pdf: _pack_block(pdf, strict), f"budget_id {budget_type}, block int, local int, doc_id {id_type}, piece int, start int, end int, n_tokens int"))
+    blocked = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(blocks)).cast("int"))
+    packed = cut_lineage(blocked.groupBy("budget_id", "block").applyInPandas(lambda pdf: _pack_block(pdf, strict), f"budget_id {budget_type}, block int, local int, doc_id {id_type}, piece int, start int, end int, n_tokens int"))
     before = Window.partitionBy("budget_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = packed.groupBy("budget_id", "block").agg((F.max("local") + 1).cast("bigint").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
     return packed.join(offsets.select("budget_id", "block", "offset"), ["budget_id", "block"]).select("budget_id", (F.col("offset") + F.col("local") + 1).alias("container"), "doc_id", "piece", "start", "end", "n_tokens")

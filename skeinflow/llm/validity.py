@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .syntax import BY_EXTENSION, JUDGED, fault, lexmap
 
 #: Characters of a chunk, and chunks that one step of the reduction combines.
@@ -85,7 +85,7 @@ def broken_files(files: DataFrame, file: str = "file_id", path: str = "path", la
     """
     rows = files.select(F.col(file).alias("file_id"), F.col(path).cast("string").alias("path"), language_of(F.col(language), F.col(path)).alias("lang"), F.col(content).alias("content")).filter(F.col("lang").isin(*JUDGED) & F.col("content").isNotNull())
     id_type = files.schema[file].dataType.simpleString()
-    cut = cut_lineage(rows.mapInPandas(_cut(chunk), f"file_id {id_type}, path string, lang string, no int, n int, bad boolean, chunk string"))
+    cut = cut_lineage(spread(rows).mapInPandas(_cut(chunk), f"file_id {id_type}, path string, lang string, no int, n int, bad boolean, chunk string"))
     single = cut.filter("n = 1").select("file_id", "bad")
     chunked = cut.filter("n > 1").repartition("file_id", "no")
     most = cut.agg(F.max("n")).first()[0] or 1
