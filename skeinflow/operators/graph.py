@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -16,6 +16,8 @@ STRUCTURAL_EDGES = ("guards", "writes_to", "reads_from")
 CONTROL_EDGES = ("uses_model", "uses_tool", "provides_tool", "delegates_to")
 SINK_CAPABILITIES = ("executes_code", "executes_shell", "writes_filesystem", "writes_db", "http_egress")
 SOURCE_TYPES = ("rag_corpus", "mcp_tool_description", "email_inbox")
+#: Edges of a node that are met together; more of them are dealt into parts.
+CROWD = 1024
 
 NODE_COLUMNS = ("id", "kind", "name", "host_id", "attributes", "capabilities", "observed_by", "confidence", "content_hash", "status", "created_at", "updated_at")
 EDGE_COLUMNS = ("id", "source_id", "target_id", "kind", "host_id", "edge_precision", "flow_kind", "data_flow_confirmed", "identity_confidence", "attributes", "capabilities", "observed_by", "confidence", "status", "created_at", "updated_at")
@@ -78,7 +80,8 @@ def neighbours(graph: Graph, starts: DataFrame, depth: int = 1) -> DataFrame:
     if depth < 1:
         raise ValueError("depth must be at least 1")
     active = graph.edges.filter("status = 'active'").select("source_id", "target_id")
-    both = cut_lineage(active.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(active.select("target_id", "source_id")).distinct())
+    both = active.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(active.select("target_id", "source_id"))
+    both = cut_lineage(both.distinct()) if depth > 1 else both  # one round reads it once
     found = cut_lineage(starts.select(F.col("id").alias("start"), "id").distinct().withColumn("distance", F.lit(0)))
     frontier = found
     for d in range(1, depth + 1):
@@ -92,11 +95,29 @@ def neighbours(graph: Graph, starts: DataFrame, depth: int = 1) -> DataFrame:
 
 
 def edges_met(graph: Graph, reached: DataFrame, depth: int) -> DataFrame:
-    """(start, edge_id) of the active edges that a walk of ``neighbours`` to ``depth`` crosses."""
+    """(start, edge_id) of the active edges that a walk of ``neighbours`` to ``depth`` crosses.
+
+    The nodes nearer than ``depth`` decide, so ``reached`` need not go beyond ``depth`` - 1. Every edge is met at its more
+    crowded end, and at the other end only by starts that have not reached the crowded one: no row is made twice, and the
+    result, which grows with starts times edges of a hub, is neither shuffled nor stored. The edges of a node with more than
+    ``CROWD`` of them are dealt into parts, and the starts that reached it meet each part by itself.
+    """
+    inner = cut_lineage(reached.filter(F.col("distance") < depth).select("start", "id").distinct())
     active = graph.edges.filter("status = 'active'").select(F.col("id").alias("edge_id"), "source_id", "target_id")
-    inner = reached.filter(F.col("distance") < depth)
-    out = inner.join(active, F.col("id") == F.col("source_id")).select("start", "edge_id")
-    return out.union(inner.join(active, F.col("id") == F.col("target_id")).select("start", "edge_id")).distinct()
+    ends = active.select(F.explode(F.array("source_id", "target_id")).alias("id")).filter("id is not null")
+    crowded = cut_lineage(ends.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD))
+    sized = active.join(crowded.select(F.col("id").alias("source_id"), F.col("n").alias("n_source")), "source_id", "left").join(crowded.select(F.col("id").alias("target_id"), F.col("n").alias("n_target")), "target_id", "left")
+    n_source, n_target = F.coalesce("n_source", F.lit(0)), F.coalesce("n_target", F.lit(0))
+    at, away = F.when(n_source > n_target, F.col("source_id")).otherwise(F.col("target_id")), F.when(n_source > n_target, F.col("target_id")).otherwise(F.col("source_id"))
+    placed = sized.select("edge_id", at.alias("at"), away.alias("away"), F.pmod(F.xxhash64("edge_id"), _parts(F.greatest(n_source, n_target))).alias("part"))
+    dealt = inner.join(crowded, "id", "left").select("start", F.col("id").alias("at"), F.explode(F.sequence(F.lit(0).cast("bigint"), _parts(F.coalesce("n", F.lit(0))) - 1)).alias("part"))
+    met = dealt.join(placed, ["at", "part"]).select("start", "edge_id")
+    other = inner.join(placed.filter(~F.col("at").eqNullSafe(F.col("away"))), F.col("id") == F.col("away")).select("start", "edge_id", "at")
+    return met.unionByName(other.join(inner.withColumnRenamed("id", "at"), ["start", "at"], "left_anti").select("start", "edge_id"))
+
+
+def _parts(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / CROWD)).cast("bigint")
 
 
 def slice_findings(findings: DataFrame, node_ids: DataFrame, edge_ids: DataFrame) -> DataFrame:

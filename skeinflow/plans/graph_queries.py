@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators import paths, reports, rows, scoring, validation
+from ..session import cut_lineage
 from ..tables import latest, table
 from .projection import projected_graph
 
@@ -137,8 +138,10 @@ def chain_faces(spark, folder):
 
 def neighbour_edges(spark, folder):
     graph = g.stored_graph(spark, folder, ("kind", "status"), ("source_id", "target_id", "status"))
+    graph = g.Graph(graph.nodes, cut_lineage(graph.edges.filter("status = 'active'")))  # the walk and the edges met read it
     starts = graph.nodes.filter("status = 'active' and kind = 'guardrail'")
-    return g.edges_met(graph, g.neighbours(graph, starts, 2), 2)
+    # The last round is left out: its edges hang on the nodes of the round before.
+    return g.edges_met(graph, g.neighbours(graph, starts, 1), 2)
 
 
 def nodes_listed(spark, folder):

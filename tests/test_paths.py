@@ -1,13 +1,17 @@
 import hashlib
 import json
 import random
+from datetime import datetime
 
 import pytest
 
+from skeinflow.operators import graph as graph_module
 from skeinflow.operators.graph import Graph, edges_met, neighbours, sinks, subgraph
 from skeinflow.operators.paths import chain_groups, find_chains, read_chains, write_chains
 from skeinflow.operators.scoring import prioritise, score_groups
 from skeinflow.operators.validation import validate_chains, validate_edges
+from skeinflow.plans import graph_queries
+from skeinflow.session import cut_lineage
 
 NODE = "id string, kind string, name string, capabilities array<string>, confidence double, status string, attributes string"
 EDGE = "id string, source_id string, target_id string, kind string, flow_kind string, identity_confidence double, observed_by array<string>, status string, attributes string"
@@ -104,6 +108,39 @@ def test_neighbours_and_subgraph(spark):
         neighbours(graph, graph.nodes, 0)
 
 
+@pytest.mark.parametrize("crowd", [2, 1024])
+def test_edges_met_at_hubs_against_sets(spark, monkeypatch, crowd):
+    monkeypatch.setattr(graph_module, "CROWD", crowd)
+    rng = random.Random(7)
+    pairs = [("h", f"n{k}") for k in range(12)] + [(rng.choice("hgabcdef"), rng.choice("hgabcdef")) for _ in range(30)] + [("a", None), (None, "h"), (None, None), ("h", "h"), ("h", "g"), ("g", "h")]
+    edges = [(f"e{k:02}", a, b, "k", "control", None, "stale" if k % 11 == 5 else "active") for k, (a, b) in enumerate(pairs)]
+    graph = make(spark, [(n, "agent") for n in "hgabcdef"], edges)
+    active = [e[:3] for e in edges if e[6] == "active"]
+    for depth in (1, 2, 3):
+        want = set()
+        for start in ("a", "h", "n1", "zz"):
+            reached = {start}
+            for _ in range(depth - 1):
+                reached |= {y for _, a, b in active for x, y in ((a, b), (b, a)) if x in reached and x and y}
+            want |= {(start, e) for e, a, b in active if a in reached or b in reached}
+        starts = spark.createDataFrame([("a",), ("h",), ("n1",), ("zz",)], "id string")
+        assert sorted(map(tuple, edges_met(graph, neighbours(graph, starts, max(1, depth - 1)), depth).collect())) == sorted(want)
+
+
+def test_neighbour_edges_stores_no_last_round(spark, tmp_path, monkeypatch):
+    # A hub with 150 guardrails and 400 tools: 150 * 550 nodes lie within two edges, 301 are reached within one.
+    ids = [f"g{k}" for k in range(150)] + [f"t{k}" for k in range(400)]
+    now = datetime(2026, 1, 1)
+    spark.createDataFrame([(i, "guardrail" if i[0] == "g" else "tool", "active", now) for i in ids], "id string, kind string, status string, updated_at timestamp").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([(f"e{i}", i, "hub", "active", now) for i in ids], "id string, source_id string, target_id string, status string, updated_at timestamp").write.parquet(f"{tmp_path}/edges.parquet")
+    stored = []
+    for module in (graph_module, graph_queries):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, eager=True, cut=cut_lineage: stored.append(cut(df, eager)) or stored[-1], raising=False)
+    got = graph_queries.neighbour_edges(spark, str(tmp_path))
+    assert got.count() == got.distinct().count() == 150 * 550
+    assert max(df.count() for df in stored) == 550
+
+
 def test_validation_notes(spark):
     graph = small(spark)
     chains = [("ok", ["e", "a", "k"], ["e1", "e3"]), ("none", [], []), ("null", None, None), ("noedges", ["e"], []), ("gone", ["e", "zz"], ["e1", "yy"]), ("turned", ["e", "a", "k"], ["e1", "e4"]), ("typed", ["a", "r"], ["e1"]), ("slot", ["e", None], ["e1"])]
