@@ -6,8 +6,8 @@ Jaccard similarity of 0.8 or more are one family: what one family repeats is its
 share (instruction sentences) belong to none. A passage is a run of five or more words of an item; an edited word ends one
 passage and the next begins behind it.
 
-The join is filtered by prefixes. An item's shingles are ordered by rarity, those that a sample of the corpus and other items
-know last. The longest tail of this order whose words together fall short of the share cannot make a case, so a case has a
+The join is filtered by prefixes. An item's shingles are ordered by rarity, those that other families of items have last; every
+row of the items counts for this. The longest tail of this order whose words together fall short of the share cannot make a case, so a case has a
 shingle of the rest, the prefix. One pass over the corpus looks up prefix shingles only. For what they hit, a length bound (the
 document has enough words) and a position bound (the item's places that the prefix hits cover, and those that the tail could
 still cover) come before the exact check, which lays windows of the item's size over the document and unites what they hold.
@@ -78,22 +78,27 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def own_shingles(items: DataFrame, item: str, text: str, shared_by: int = 2, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(rep, code, pos, n_words) of the shingles that at most ``shared_by`` families of items have, and (rep, item_id).
 
-    ``rep`` stands for all items of the same words. Items without a shingle have no rows.
+    ``rep`` stands for all items of the same words. Items without a shingle have no rows. An item stored with several texts has
+    a ``rep`` for each, all of one family.
     """
-    read = items.select(F.col(item).alias("item_id"), F.col(text).alias("text")).filter("text is not null").dropDuplicates(["item_id"])
+    read = items.select(F.col(item).alias("item_id"), F.col(text).alias("text")).filter("text is not null").distinct()
     rows = cut_lineage(read.mapInPandas(_words, f"item_id {items.schema[item].dataType.simpleString()}, word_key string, n_words int, codes array<bigint>").filter(F.size("codes") > 0))
-    members = rows.select(F.col("word_key").alias("rep"), "item_id")
+    members = rows.select(F.col("word_key").alias("rep"), "item_id").distinct()
     one = rows.groupBy(F.col("word_key").alias("rep")).agg(F.first("n_words").alias("n_words"), F.first("codes").alias("codes"))
     places = cut_lineage(one.select("rep", "n_words", F.posexplode("codes").alias("pos", "code")))
-    families = _families(places, similarity)
+    versions = members.join(members.groupBy("item_id").agg(F.min("rep").alias("a")), "item_id").filter(F.col("rep") > F.col("a")).select("a", F.col("rep").alias("b"))
+    families = _families(places, versions, similarity)
     few = places.select("rep", "code").distinct()
     named = few if families is None else few.join(families, "rep", "left").select(F.coalesce("family", "rep").alias("rep"), "code").distinct()
     own = named.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= shared_by)
     return places.join(own, "code").select("rep", "code", "pos", "n_words", F.col("n").alias("n_families")), members
 
 
-def _families(places: DataFrame, similarity: float) -> DataFrame | None:
-    """(rep, family) of the items that are similar to another; None without any. By prefixes in the order of rarity."""
+def _families(places: DataFrame, versions: DataFrame, similarity: float) -> DataFrame | None:
+    """(rep, family) of the items that are similar to another or in the pairs (a, b) of ``versions``; None without any.
+
+    By prefixes in the order of rarity.
+    """
     counts = places.select("rep", "code").distinct()
     rare = counts.join(counts.groupBy("code").agg(F.count(F.lit(1)).alias("k")), "code").filter("k > 1")
     sizes = counts.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
@@ -103,11 +108,9 @@ def _families(places: DataFrame, similarity: float) -> DataFrame | None:
     other = prefix.select(F.col("rep").alias("b"), F.col("n").alias("m"), "code")
     alike = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
     pairs = cut_lineage(prefix.join(other, "code").filter((F.col("rep") < F.col("b")) & alike).select(F.col("rep").alias("a"), "b", "n", "m").distinct())
-    if pairs.isEmpty():
-        return None
     left, right = rare.select(F.col("rep").alias("a"), "code"), rare.select(F.col("rep").alias("b"), "code")
     shared = pairs.join(left, "a").join(right, ["b", "code"]).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("s"))
-    near = cut_lineage(shared.filter(F.col("s") >= similarity * (F.col("n") + F.col("m") - F.col("s")) - 1e-9).select("a", "b"))
+    near = cut_lineage(shared.filter(F.col("s") >= similarity * (F.col("n") + F.col("m") - F.col("s")) - 1e-9).select("a", "b").unionByName(versions))
     return None if near.isEmpty() else components(near).select(F.col("cluster").alias("rep"), F.col("near").alias("family"))
 
 
@@ -211,17 +214,6 @@ class Index:
         return share, best / self.own[item]
 
 
-def _frequencies(documents: DataFrame, own: DataFrame, one_of: int) -> DataFrame:
-    """(code, seen): in how many documents of a sample the shingles of items occur. It orders prefixes and decides nothing."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"codes": [np.unique(shingles(words_of(t))) for t in pdf["text"]]})
-
-    sample = documents.filter(F.pmod(F.xxhash64("text"), F.lit(one_of)) == 0).select("text").mapInPandas(run, "codes array<bigint>")
-    return sample.select(F.explode("codes").alias("code")).join(own.select("code").distinct(), "code", "left_semi").groupBy("code").agg(F.count(F.lit(1)).alias("seen"))
-
-
 def _lookup(index):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = index.value
@@ -231,25 +223,24 @@ def _lookup(index):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", share: float = 0.5, shared_by: int = 2, block: int = 2_000_000, rarity_one_of: int = 64) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", share: float = 0.5, shared_by: int = 2, block: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, share, window_share) of every document that has at least ``share`` of an item's own words as passages.
 
     An item's own words are those in shingles of at most ``shared_by`` families of items; items of equal words, and items of
     one family, keep what they have in common, so an item that many suites repeat is found for each. ``window_share`` is the
     largest share within one window of the item's size: it is smaller where the item's parts stand apart. Items with no shingle
     of their own (under five words, or nothing but shared sentences) leak nowhere; null and empty documents and items leak
-    nothing. A repeated document row gives its cases once, as does a repeated item row.
+    nothing. A repeated document row gives its cases once, as does a repeated item row; an item stored with several texts has the
+    cases of each.
 
     Item shingles are broadcast in blocks of at most about ``block`` shingles (some forty bytes each); more items mean more passes
-    over the corpus, never fewer results. One document of ``rarity_one_of``, by a hash of the text, tells which shingles are
-    rare; it changes the cost and never the result.
+    over the corpus, never fewer results.
     """
     spark = documents.sparkSession
     own, members = own_shingles(items, item, text, shared_by)
     item_type, doc_type = items.schema[item].dataType.simpleString(), documents.schema[doc].dataType.simpleString()
     source = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).filter("text is not null and text <> ''")
-    seen = _frequencies(source, own, rarity_one_of)
-    ordered = cut_lineage(own.join(seen, "code", "left").select("rep", "code", "pos", "n_words", (F.coalesce("seen", F.lit(0)) * rarity_one_of + F.col("n_families") - 1).alias("frequency")))
+    ordered = cut_lineage(own.select("rep", "code", "pos", "n_words", (F.col("n_families") - 1).alias("frequency")))
     blocks = -(-ordered.count() // block)
     if not blocks:
         return spark.createDataFrame([], f"doc_id {doc_type}, item_id {item_type}, share double, window_share double")
@@ -260,4 +251,4 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
             index = spark.sparkContext.broadcast(Index(rows, share))
             parts.append(spread(source).mapInPandas(_lookup(index), f"doc_id {doc_type}, rep string, share double, window_share double"))
     found = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "rep").agg(F.max("share").alias("share"), F.max("window_share").alias("window_share"))
-    return found.join(members, "rep").select("doc_id", "item_id", "share", "window_share")
+    return found.join(members, "rep").groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("window_share").alias("window_share"))

@@ -112,6 +112,29 @@ def test_items_of_many_suites_keep_their_shingles(spark):
     assert got == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (1, 7), (2, 6)]
 
 
+def test_every_text_of_an_item_counts(spark):
+    texts = [" ".join(f"{w}{k + shift}" for k, w in enumerate(WORDS)) for shift in (0, 50, 100, 150, 200)]
+    # What the texts of one item share stays its own.
+    tail = " ".join(f"tail{k}" for k in range(60))
+    items = [(7, t + " " + tail) for t in texts[:3]] + [(7, texts[0] + " " + tail), (8, texts[1]), (9, texts[3]), (9, texts[4])]
+    docs = [*enumerate(texts), (5, tail), (6, texts[0] + " " + tail), (7, texts[1] + " " + tail)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [(1, 8), (3, 9), (4, 9), (5, 7), (6, 7), (7, 7), (7, 8)]
+
+
+def test_order_of_shingles_comes_from_all_items(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Index, "__init__", lambda self, rows, share, make=Index.__init__: seen.append(rows) or make(self, rows, share))
+    texts = [" ".join(f"{w}{k + shift}" for k, w in enumerate(WORDS)) for shift in (0, 50)]
+    items = [(1, texts[0]), (2, texts[1] + " " + " ".join(texts[0].split()[-9:]))]
+    d = spark.createDataFrame([(k, f"{texts[0]} {k}") for k in range(300)], "doc_id long, text string")
+    got = leaks(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, 1) for k in range(300)}
+    both = seen[0].groupby("code").size()
+    assert (seen[0]["frequency"] == seen[0]["code"].map(both) - 1).all() and (both == 2).sum() == 5
+
+
 def _brute_share(item, own, words):
     known = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
     places = {q for p in own for q in range(p, p + 5)}
